@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, simhash, tokens, warc
-from tidemark.llm.common import fresh_path, table
+from tidemark.llm import decontaminate, langid, mixing, pii, prefixhash, quality, simhash, tokens, toxicity, warc
+from tidemark.llm.common import crc_mod, fresh_path, table
 
-#: Where the public vocabulary files lie; a parameter of the token counter.
+#: The public vocabulary file of the token counter; its path is a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
+#: Key of the surrogates; a deployment sets its own.
+PII_KEY = "surrogate-key-1"
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    held = (crc_mod("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out")
+    return found.select("doc_id", held, "lang_pred", "score")
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held = (crc_mod("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +38,28 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKENIZER)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = (crc_mod("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out")
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held, "score", predicted, "worst_sentence")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -36,10 +72,61 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: Contracts that SQL can express; the others are tested against brute force.
+ORACLES = {
+    "op4_warc": """
+WITH r AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM r
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
+FROM f
+""",
+    "op10_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s
+), c AS (
+  SELECT *, 3 * source_size AS cap FROM w
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+            / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM c
+), t AS (
+  SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM l
+), k AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+         ('0x' || substr(md5('10:' || coalesce(d.source, chr(0) || 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u,
+         row_number() OVER (PARTITION BY d.source
+                            ORDER BY length(d.size::VARCHAR) * 10 + left(d.size::VARCHAR, 1)::INT, d.h, d.size) AS n
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       ((floor(rate * n + u) - floor(rate * (n - 1) + u)) * size)::BIGINT AS taken
+FROM k
+""",
+}
