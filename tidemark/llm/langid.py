@@ -213,7 +213,7 @@ class Tagger:
         """(posterior of each word, letters of each word) of each text."""
         found = [WORD.findall(t.lower()) for t in texts]
         ids, emissions, letters = [len(ws) for ws in found], [], []
-        fresh = set().union(*found) - self.memo.keys()
+        fresh = {w for w in set().union(*found) if w not in self.memo}
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.memo = {}
             fresh = set().union(*found)
