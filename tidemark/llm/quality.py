@@ -47,11 +47,13 @@ def rare(piece: str) -> str:
     return f"<word {min(len(piece), 12)}>" if piece[0].isalpha() else "<signs>"
 
 
-def index_vector(piece: str) -> np.ndarray:
-    rng = np.random.default_rng(zlib.crc32(piece.encode("utf-8", "surrogatepass")))
-    v = np.zeros(DIM, np.float32)
-    v[rng.choice(DIM, NONZERO, replace=False)] = rng.choice((-1.0, 1.0), NONZERO)
-    return v
+def index_vectors(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the non-zeros of each piece's index vector, drawn from its CRC."""
+    seed = np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in names], np.uint64)[:, None]
+    x = (seed * np.uint64(64) + np.arange(1, NONZERO + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    return (x >> np.uint64(8)).astype(np.int64) % DIM, np.where(x & np.uint64(1), 1.0, -1.0)
 
 
 class Vectors:
@@ -71,8 +73,10 @@ class Vectors:
         known = {p for p, n in count.items() if n >= MIN_COUNT or p[0] == "<"}
         names = sorted(known | {rare(p) for p in count if p not in known} | {SAME, "<signs>"} | {f"<word {n}>" for n in range(1, 13)})
         self.at = {p: n for n, p in enumerate(names)}
-        index = np.stack([index_vector(p) for p in names])
-        context = np.zeros((len(names), DIM), np.float64)
+        at, sign = index_vectors(names)
+        width = len(names) * DIM
+        index = np.bincount((np.arange(len(names))[:, None] * DIM + at).ravel(), sign.ravel(), minlength=width)
+        context = np.zeros(width)
         ids = [np.array([self.number(p) for p in line], np.int64) for line in lines]
         for shift in range(1, WINDOW + 1):
             pairs = [a[:-shift] * len(names) + a[shift:] for a in ids if len(a) > shift]
@@ -80,10 +84,10 @@ class Vectors:
                 continue
             key, n = np.unique(np.concatenate(pairs), return_counts=True)
             left, right = np.divmod(key, len(names))
-            for part in range(0, len(key), 100_000):
-                s = slice(part, part + 100_000)
-                np.add.at(context, left[s], index[right[s]] * n[s, None])
-                np.add.at(context, right[s], index[left[s]] * n[s, None])
+            for k in range(NONZERO):
+                context += np.bincount(left * DIM + at[right, k], sign[right, k] * n, minlength=width)
+                context += np.bincount(right * DIM + at[left, k], sign[left, k] * n, minlength=width)
+        index, context = index.reshape(-1, DIM), context.reshape(-1, DIM)
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         self.table = (index + context / np.maximum(norm, 1e-9) * np.sqrt(NONZERO)).astype(np.float32)
 
@@ -117,7 +121,7 @@ class Pooler:
         total = np.zeros(DIM, np.float32)
         for at in range(0, len(tokens), 20_000):
             part = tokens[at : at + 20_000]
-            fresh = set(part) - self.memo.keys()
+            fresh = {t for t in set(part) if t not in self.memo}
             if len(self.memo) + len(fresh) > MEMO_TOKENS:
                 self.memo, fresh = {}, set(part)
             self._learn(list(fresh))
