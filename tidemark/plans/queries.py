@@ -38,6 +38,21 @@ ka AS (SELECT user_id AS id, max((epoch_us(ts) // 1000))::BIGINT AS last_seen FR
 active AS (SELECT w.id, w.created_at FROM w JOIN ka USING (id) WHERE w.created_at IS NOT NULL AND w.id % 11 <> 0
   AND (SELECT max(last_seen) FROM ka) - last_seen <= {TTL_MS})"""
 
+# The hash bit by bit and the bucket step by step, as folds of lists.
+ROUTED = f"""k AS (SELECT o_orderkey::VARCHAR AS key FROM orders),
+c AS (SELECT key, xor(list_reduce(list_transform(string_split(key, ''), lambda ch: ascii(ch)::UBIGINT),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, {hashing.CRC64_POLY}::UBIGINT) ELSE x >> 1 END, xor(c, b)),
+  {2**64 - 1}::UBIGINT), {2**64 - 1}::UBIGINT) AS crc FROM k)"""
+
+
+def bucket_sql(n: int | str) -> str:
+    h = f"(s.h * {hashing.JUMP_MULTIPLIER} + 1) % {2**64}"
+    return f"""list_reduce(list_transform(range(64), lambda i: {{'h': 0::HUGEINT, 'b': 0::BIGINT, 'j': 0::BIGINT}}),
+  lambda s, x: CASE WHEN s.j < {n} THEN {{'h': {h}, 'b': s.j,
+    'j': floor((s.j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((({h}) // {2**33})::DOUBLE + 1.0)))::BIGINT}} ELSE s END,
+  {{'h': crc::HUGEINT, 'b': -1::BIGINT, 'j': 0::BIGINT}}).b"""
+
 
 def query(sql: str | None = None):
     def register(f):
@@ -378,19 +393,21 @@ def pool_status(spark, d):
     return s.select("id", F.to_json("keys").alias("keys"))
 
 
-@query()
+@query(f"WITH {ROUTED} SELECT key, crc::VARCHAR AS crc, {bucket_sql(NODES)} AS bucket FROM c")
 def route_jobs(spark, d):
     keys = src.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
     return routing.route(keys, NODES).select("key", hashing.crc64(F.col("key")).cast("string").alias("crc"), "bucket")
 
 
-@query()
+@query(f"""WITH {ROUTED}, {ACTIVE}, r AS (SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS bucket FROM active),
+n AS (SELECT count(*)::BIGINT AS n FROM active), b AS (SELECT key, {bucket_sql("n")} AS bucket FROM c, n)
+SELECT key, r.id AS worker_id FROM b LEFT JOIN r USING (bucket)""")
 def route_to_workers(spark, d):
     keys = src.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
     return routing.route_to_workers(keys, _active(spark, d)).select("key", "worker_id")
 
 
-@query()
+@query(f"WITH {ROUTED}, b AS (SELECT key, {bucket_sql(NODES)} AS old_bucket, {bucket_sql(NODES + 1)} AS new_bucket FROM c) SELECT * FROM b WHERE old_bucket <> new_bucket")
 def rebalance_moves(spark, d):
     return routing.rebalance(src.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key")), NODES, NODES + 1)
 
