@@ -82,6 +82,22 @@ def match_acks(pending: DataFrame, acks: DataFrame) -> DataFrame:
     return acks.join(known, ["worker_id", "event_id"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def drop_old_pending(pending: DataFrame, now: int, limit: int) -> DataFrame:
+    """Pending events no older than the limit; older ones are given up."""
+    return pending.where(F.lit(now) - F.col("created_at") <= limit)
+
+
+def dispatch_results(waiting: DataFrame, results: DataFrame) -> DataFrame:
+    """(event_id, error) for dispatchers that wait; a null error text marks a requeue and answers nobody."""
+    return results.where(F.col("error").isNotNull()).join(waiting.select("event_id"), "event_id", "left_semi").select("event_id", F.nullif("error", F.lit("")).alias("error"))
+
+
+def cleanup_locks(locks: DataFrame, wanted: DataFrame, ttl: int, now: int) -> DataFrame:
+    """Workers whose cleanup lock can be taken: none held, or one older than the ttl (or unreadable)."""
+    held = locks.where(within(whole_number(F.col("ts")), ttl, now)).select("id")
+    return wanted.join(held, "id", "left_anti")
+
+
 def status(workers: DataFrame, owned: DataFrame) -> DataFrame:
     """Workers with their sorted job keys, empty for those without."""
     per = owned.groupBy("worker_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))

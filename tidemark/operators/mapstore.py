@@ -130,6 +130,61 @@ def values(ops: DataFrame) -> DataFrame:
     return _fold(ops, ["key"], ["op", "value", "test", "delta"], start, step).where("state.live").select("key", F.col("state.value").alias("value"))
 
 
+def op_results(ops: DataFrame) -> DataFrame:
+    """(key, rev, op, prev, existed, updated) of every set, cas, del and cas_del: what its caller is told.
+
+    ``updated`` says whether the operation took effect: a del or cas_del of a missing key does not, a cas only when the
+    present value is the tested one (a missing key never matches, not even an empty test).
+    """
+    out = "array<struct<rev:bigint,op:string,prev:string,existed:boolean,updated:boolean>>"
+    state = f"struct<live:boolean,value:string,out:{out}>"
+    start = F.struct(F.lit(False).alias("live"), F.lit(None).cast("string").alias("value"), F.array().cast(out).alias("out")).cast(state)
+
+    def step(s: Column, o: Column) -> Column:
+        same = F.coalesce(s["live"] & (s["value"] == o["test"]), F.lit(False))
+        hit = F.when(o["op"] == "set", True).when(o["op"] == "del", s["live"]).otherwise(same)
+        told = F.struct(o["rev"].alias("rev"), o["op"].alias("op"), F.when(s["live"], s["value"]).otherwise("").alias("prev"), s["live"].alias("existed"), hit.alias("updated"))
+        writes = o["op"].isin("set", "cas")
+        return F.struct(
+            F.when(hit, writes).otherwise(s["live"]).alias("live"),
+            F.when(hit & writes, o["value"]).when(hit, F.lit(None).cast("string")).otherwise(s["value"]).alias("value"),
+            F.concat(s["out"], F.array(told)).alias("out"),
+        ).cast(state)
+
+    folded = _fold(ops, ["key"], ["op", "value", "test"], start, step)
+    return folded.select("key", F.explode("state.out").alias("r")).select("key", "r.*")
+
+
+def remove_results(log: DataFrame) -> DataFrame:
+    """(key, rev, removed) of every remove of a list log: whether it removed anything (only then a revision is spent)."""
+    out = "struct<items:array<string>,out:array<struct<rev:bigint,removed:boolean>>>"
+    start = F.struct(F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<rev:bigint,removed:boolean>>").alias("out")).cast(out)
+
+    def step(s: Column, o: Column) -> Column:
+        left = F.filter(s["items"], lambda e: ~F.array_contains(o["items"], e))
+        told = F.array(F.struct(o["rev"].alias("rev"), (F.size(left) < F.size(s["items"])).alias("removed")))
+        items = F.when(o["op"] == "append", F.concat(s["items"], o["items"])).when(o["op"] == "append_unique", F.concat(s["items"], F.array_except(o["items"], s["items"]))).otherwise(left)
+        return F.struct(items.alias("items"), F.when(o["op"] == "remove", F.concat(s["out"], told)).otherwise(s["out"]).alias("out")).cast(out)
+
+    folded = _fold(log, ["key"], ["op", "items"], start, step)
+    return folded.select("key", F.explode("state.out").alias("r")).select("key", "r.*")
+
+
+def destroyed(name: str, rev: int, spark) -> DataFrame:
+    """The tombstone row of a destroyed map: revisions go on, so the name can be used again."""
+    return spark.createDataFrame([(name, rev, "destroy", None, None)], "map string, rev long, op string, key string, value string")
+
+
+def without_metadata(content: DataFrame) -> DataFrame:
+    """Stored fields without the reserved ones, whose names begin with '='."""
+    return content.where(~F.startswith("key", F.lit("=")))
+
+
+def caught_up(progress_rev: int, target_rev: int) -> bool:
+    """Whether a reader of a map has seen a write, even if it was overwritten since."""
+    return progress_rev >= target_rev
+
+
 def cas_chain(ops: DataFrame) -> DataFrame:
     """(key, value, n_updated) for sets and compare-and-sets, with the number of effective compare-and-sets."""
     state = "struct<value:string,n:bigint>"

@@ -66,3 +66,22 @@ def requeue(owned: DataFrame, payloads: DataFrame, created_at_ns: int) -> DataFr
 def without_workers(table: DataFrame, gone: DataFrame, column: str = "id") -> DataFrame:
     """A worker table without removed workers; payloads are never touched by this."""
     return table.join(gone.select(F.col("id").alias(column)), column, "left_anti")
+
+
+def job_changes(outcomes: DataFrame) -> DataFrame:
+    """Changes to the job and payload maps after handlers ran.
+
+    outcomes: worker_id, key, event (start or stop), ok, requeued, owned, payload. A started job is owned and stored; a
+    failed start gives up ownership, and the payload too unless the job was requeued; a stop of an owned job removes
+    both; a stop elsewhere changes nothing (it is delivered again).
+    """
+    start, ok = F.col("event") == "start", F.col("ok")
+    own = F.when(start & ok, "own").when(start, "release").when(F.col("owned"), "release")
+    keep = F.when(start & ok, "store").when(start & ~F.col("requeued"), "delete").when(~start & F.col("owned"), "delete").otherwise("keep")
+    return outcomes.select("worker_id", "key", "event", F.coalesce(own, F.lit("none")).alias("ownership"), keep.alias("payload_op"))
+
+
+def ack_decision(outcomes: DataFrame) -> DataFrame:
+    """(key, acked, error): a requeue is not acknowledged, any other outcome is, with its error text."""
+    again = F.coalesce(F.col("error") == "requeue", F.lit(False))
+    return outcomes.select("key", (~again).alias("acked"), F.when(~again, F.col("error")).alias("error"))

@@ -469,3 +469,68 @@ def list_parse(spark, d):
 @query("SELECT DISTINCT arg_max(event_id, event_id) OVER (PARTITION BY user_id) AS event_id, user_id FROM events")
 def cache_refresh(spark, d):
     return src.read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", "event_id").alias("event_id")).select("event_id", "user_id")
+
+
+def _cas_ops(spark, d):
+    e = src.read(spark, d, "events")
+    op = F.element_at(F.array(*map(F.lit, ("cas", "set", "cas", "del", "cas_del"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select((F.col("event_id") + 1).alias("rev"), (F.col("user_id") % 50).alias("key"), op.alias("op"), (F.col("event_id") % 4).cast("string").alias("value"), (F.col("event_id") % 3).cast("string").alias("test"))
+
+
+@query("""WITH e AS (SELECT event_id + 1 AS rev, user_id % 50 AS key, ['cas', 'set', 'cas', 'del', 'cas_del'][event_id % 5 + 1] AS op, event_id % 4 AS v, event_id % 3 AS t FROM events),
+o AS (SELECT key, list({'rev': rev, 'op': op, 'v': v, 't': t, 'live': false, 'prev': -1::BIGINT, 'existed': false, 'updated': false, 'out': []::STRUCT(rev BIGINT, op VARCHAR, prev BIGINT, existed BOOLEAN, updated BOOLEAN)[]} ORDER BY rev) AS ops FROM e GROUP BY 1),
+f AS (SELECT key, list_reduce(ops, lambda s, x: {'rev': x.rev, 'op': x.op,
+  'v': CASE WHEN x.op = 'set' OR (x.op = 'cas' AND s.live AND s.v = x.t) THEN x.v ELSE s.v END, 't': x.t,
+  'live': CASE WHEN x.op = 'set' THEN true WHEN x.op = 'del' OR (x.op = 'cas_del' AND s.live AND s.v = x.t) THEN false ELSE s.live END,
+  'prev': s.prev, 'existed': s.existed, 'updated': s.updated,
+  'out': list_append(s.out, {'rev': x.rev, 'op': x.op, 'prev': CASE WHEN s.live THEN s.v ELSE -1 END, 'existed': s.live,
+    'updated': CASE WHEN x.op = 'set' THEN true WHEN x.op = 'del' THEN s.live ELSE s.live AND s.v = x.t END})},
+  {'rev': 0::BIGINT, 'op': '', 'v': 0::BIGINT, 't': 0::BIGINT, 'live': false, 'prev': -1::BIGINT, 'existed': false, 'updated': false, 'out': []::STRUCT(rev BIGINT, op VARCHAR, prev BIGINT, existed BOOLEAN, updated BOOLEAN)[]}).out AS out FROM o),
+u AS (SELECT key, unnest(out) AS r FROM f)
+SELECT key, r.rev AS rev, r.op AS op, CASE WHEN r.prev < 0 THEN '' ELSE r.prev::VARCHAR END AS prev, r.existed AS existed, r.updated AS updated FROM u""")
+def map_cas_results(spark, d):
+    return mapstore.op_results(_cas_ops(spark, d))
+
+
+@query()
+def map_remove_results(spark, d):
+    return mapstore.remove_results(src.list_log(spark, d))
+
+
+@query("""SELECT event_id, nullif(CASE WHEN event_id % 4 = 1 THEN '' ELSE event_type END, '') AS error FROM events WHERE event_id % 4 <> 0 AND user_id % 2 = 0""")
+def dispatch_results(spark, d):
+    e = src.read(spark, d, "events")
+    results = e.select("event_id", F.when(F.col("event_id") % 4 == 0, None).when(F.col("event_id") % 4 == 1, "").otherwise(F.col("event_type")).alias("error"))
+    return fleet.dispatch_results(e.where("user_id % 2 = 0").select("event_id"), results)
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE NOT (s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AND 100 - s_suppkey % 90 <= 50)")
+def cleanup_locks(spark, d):
+    s = src.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    ts = F.when(F.col("id") % 3 == 0, "-").otherwise((F.col("id") % 90).cast("string"))
+    return fleet.cleanup_locks(s.where("id % 2 = 0").withColumn("ts", ts), s, 50, 100)
+
+
+@query("""SELECT o_custkey AS worker_id, o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'start' ELSE 'stop' END AS event,
+CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 5 > 0 THEN 'own' ELSE 'release' END WHEN o_orderkey % 3 = 0 THEN 'release' ELSE 'none' END AS ownership,
+CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 5 > 0 THEN 'store' WHEN o_orderkey % 7 <> 0 THEN 'delete' ELSE 'keep' END WHEN o_orderkey % 3 = 0 THEN 'delete' ELSE 'keep' END AS payload_op FROM orders""")
+def job_changes(spark, d):
+    k = F.col("o_orderkey")
+    o = src.read(spark, d, "orders").select(F.col("o_custkey").alias("worker_id"), k.alias("key"), F.when(k % 2 == 0, "start").otherwise("stop").alias("event"), (k % 5 > 0).alias("ok"), (k % 7 == 0).alias("requeued"), (k % 3 == 0).alias("owned"))
+    return routing.job_changes(o)
+
+
+@query("SELECT s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 7 * s_suppkey ELSE 1000 + 10 END AS next_at FROM supplier")
+def ticker_adopt(spark, d):
+    s = src.read(spark, d, "supplier").select(F.col("s_suppkey").alias("name"))
+    old = s.where("name % 2 = 0").select("name", (F.col("name") * 7).alias("next_at"), F.when(F.col("name") % 3 == 0, 10).otherwise(20).cast("long").alias("every"))
+    return timing.adopt(old, s.withColumn("every", F.lit(10).cast("long")), 1000).select("name", "next_at")
+
+
+@query("""WITH g AS (SELECT *, event_id % 7 = 3 AS r FROM events), m AS (SELECT user_id % 3 AS map, max(CASE WHEN r THEN event_id END) AS b FROM g GROUP BY 1),
+l AS (SELECT user_id % 3 AS map, user_id AS key, max(event_id) AS rev FROM g WHERE NOT r GROUP BY ALL)
+SELECT l.map::VARCHAR AS map, key::VARCHAR AS key FROM l JOIN m USING (map) WHERE rev > b""")
+def map_expire(spark, d):
+    e = src.read(spark, d, "events")
+    rows = e.select((F.col("user_id") % 3).cast("string").alias("map"), F.col("event_id").alias("rev"), F.when(F.col("event_id") % 7 == 3, "reset").otherwise("set").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("at"))
+    return mapstore.expire(rows, 10**9, 0).select("map", "key")
