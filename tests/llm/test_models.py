@@ -60,7 +60,7 @@ def test_code_switched_words():
 
 def test_language_edges(spark):
     rows = [(i, "abc cab bca " * 30, "a") for i in range(30)] + [(100 + i, "xyz zyx yxz " * 30, "x") for i in range(30)]
-    rows += [(None, None, "a"), (200, None, None), (201, "123 !!", None), (202, "", None), (203, "abc " * 30_000, None), (203, "zyx", None)]
+    rows += [(None, None, "a"), (200, None, None), (201, "123 !! \u00bd \u2167\u00b2", None), (202, "", None), (203, "abc " * 30_000, None), (203, "zyx", None)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
     got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in langid.identify(docs, langid.fit(docs)).collect()}
     assert got[200, "und"] == got[201, "und"] == got[202, "und"] == got[None, "und"] == 0.0 and (203, "a") in got and (203, "x") in got

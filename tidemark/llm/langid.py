@@ -206,7 +206,9 @@ class Tagger:
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             self.table[first + at : first + at + len(part)] = self.field.word_scores(part)
-        self.letters[first : first + len(fresh)] = np.fromiter(map(len, fresh), np.float32, len(fresh))
+        # runs of the pattern may hold numerals that are no letters
+        letters = (len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in fresh)
+        self.letters[first : first + len(fresh)] = np.fromiter(letters, np.float32, len(fresh))
         self.memo.update(zip(fresh, range(first, first + len(fresh)), strict=True))
 
     def posteriors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -244,7 +246,7 @@ class Tagger:
     def identify(self, texts: list[str]) -> list[tuple[str, float]]:
         out = []
         for gamma, letters in self.posteriors(texts):
-            if not len(letters):
+            if not letters.sum():
                 out.append((UNKNOWN, 0.0))
                 continue
             mean = letters @ gamma / letters.sum()
