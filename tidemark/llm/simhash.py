@@ -28,29 +28,35 @@ BITS = 64
 PIVOTS = tuple(int(np.array([xxhash.xxh64_intdigest(f"pivot {i}", 0)], np.uint64).view(np.int64)[0]) for i in range(12))
 
 
-def fingerprint(text: str, shingle: int, seed: int) -> int:
-    """Signed 64-bit SimHash of a text; A-Z are lower-cased, words are runs without ASCII blanks."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence if it is shorter, none if there is no word."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends.tolist()
+    starts, ends = (ends - lengths).tolist(), ends.tolist()
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([digest(line, seed)], np.uint64)
-    else:
-        hashes = np.fromiter(
-            (digest(line[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, len(words) - shingle + 1,
-        )
+        return np.array([digest(line, seed)], np.uint64)
+    return np.fromiter((digest(line[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str, shingle: int, seed: int) -> int:
+    """Signed 64-bit SimHash of a text; A-Z are lower-cased, words are runs without ASCII blanks."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
