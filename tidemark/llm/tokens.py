@@ -135,7 +135,8 @@ class Counter:
         return [n + sum(map(known, words)) for n, words in zip(out, found, strict=True)]
 
 
-_COUNTERS: dict[int, Counter] = {}
+#: Counters of a Python worker, by tokenizer file: what one task remembers serves the next.
+_COUNTERS: dict[str, Counter] = {}
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -151,7 +152,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     shipped = spark.sparkContext.broadcast(MergeTable(tokenizer_path))
 
     def run(batches):
-        counter = _COUNTERS.setdefault(shipped._id if hasattr(shipped, "_id") else id(shipped.value), Counter(shipped.value))
+        if tokenizer_path not in _COUNTERS:
+            _COUNTERS[tokenizer_path] = Counter(shipped.value)
+        counter = _COUNTERS[tokenizer_path]
         for part, texts in text_slices(batches, 1, 2_000_000):
             tokens = np.array(counter.counts(texts), np.int64)
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
