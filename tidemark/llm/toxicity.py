@@ -9,6 +9,7 @@ sentence scores locate the offending sentences.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -59,7 +60,7 @@ class Model:
             self.constant = float(y[0]) if len(y) else 0.5
             return
         word_at: dict[str, int] = {}
-        words, sentence, doc_of, docs = [], [], [], (Counter(), Counter())
+        words, sentence, doc_of, docs = array("i"), array("i"), array("i"), (Counter(), Counter())
         n = 0
         for d, text in enumerate(texts):
             seen = set()
@@ -84,9 +85,9 @@ class Model:
             return
         pw, pf = map(np.array, zip(*pairs, strict=True))
         # each word counts once in a sentence
-        key = np.unique(np.array(sentence, np.int64) * len(word_at) + np.array(words, np.int64))
+        key = np.unique(np.frombuffer(sentence, np.int32).astype(np.int64) * len(word_at) + np.frombuffer(words, np.int32))
         sentence, words = np.divmod(key, len(word_at))
-        doc_of = np.array(doc_of)
+        doc_of = np.frombuffer(doc_of, np.int32)
         y, share = y.astype(float), weights / weights.sum()
         theta, bias = np.zeros(len(names)), -5.0
         m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
