@@ -19,12 +19,16 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import crc_mod, text_slices, training_rows
 
-#: Bound of the labelled fitting sample; dimensions; index vector's non-zeros; window; least count of a piece; hidden units.
-SAMPLE_ROWS, DIM, NONZERO, WINDOW, MIN_COUNT, HIDDEN = 5000, 64, 6, 2, 5, 24
+#: Bound of the labelled fitting sample; dimensions; index vector's non-zeros; window; hidden units.
+SAMPLE_ROWS, DIM, NONZERO, WINDOW, HIDDEN = 3000, 64, 6, 2, 24
+#: Pieces with a vector of their own: the most frequent ones of at least MIN_COUNT in the sample.
+VOCABULARY, MIN_COUNT = 20_000, 5
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 MEMO_TOKENS = 250_000
+#: Texts whose neighbours are counted at once, and remembered tokens, while fitting on the driver.
+FIT_TEXTS, FIT_TOKENS = 200, 40_000
 SAME = "<same>"
 
 
@@ -44,7 +48,7 @@ def pieces(token: str) -> list[str]:
 
 
 def rare(piece: str) -> str:
-    return f"<word {min(len(piece), 12)}>" if piece[0].isalpha() else "<signs>"
+    return f"<word {min(len(piece), 12)}>" if piece[0].isalpha() else "<digits>" if piece[0] == "<" else "<signs>"
 
 
 def index_vectors(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,33 +64,34 @@ class Vectors:
     """Word vectors learned from texts."""
 
     def __init__(self, texts: list[str]):
-        memo: dict[str, list[str]] = {}
-        lines = []
+        count: Counter[str] = Counter()
         for text in texts:
-            line: list[str] = []
-            for token in text.split():
-                if token not in memo:
-                    memo[token] = pieces(token)
-                line += memo[token]
-            lines.append(line)
-        count = Counter(p for line in lines for p in line)
-        known = {p for p, n in count.items() if n >= MIN_COUNT or p[0] == "<"}
-        names = sorted(known | {rare(p) for p in count if p not in known} | {SAME, "<signs>"} | {f"<word {n}>" for n in range(1, 13)})
+            for token, n in Counter(text.split()).items():
+                for p in pieces(token):
+                    count[p] += n
+        known = {p for p, n in count.most_common(VOCABULARY) if n >= MIN_COUNT} | {"<upper>"}
+        names = sorted(known | {SAME, "<signs>", "<digits>"} | {f"<word {n}>" for n in range(1, 13)})
         self.at = {p: n for n, p in enumerate(names)}
         at, sign = index_vectors(names)
         width = len(names) * DIM
         index = np.bincount((np.arange(len(names))[:, None] * DIM + at).ravel(), sign.ravel(), minlength=width)
         context = np.zeros(width)
-        ids = [np.array([self.number(p) for p in line], np.int64) for line in lines]
-        for shift in range(1, WINDOW + 1):
-            pairs = [a[:-shift] * len(names) + a[shift:] for a in ids if len(a) > shift]
-            if not pairs:
-                continue
-            key, n = np.unique(np.concatenate(pairs), return_counts=True)
-            left, right = np.divmod(key, len(names))
-            for k in range(NONZERO):
-                context += np.bincount(left * DIM + at[right, k], sign[right, k] * n, minlength=width)
-                context += np.bincount(right * DIM + at[left, k], sign[left, k] * n, minlength=width)
+        for first in range(0, len(texts), FIT_TEXTS):
+            memo: dict[str, list[int]] = {}
+            ids = []
+            for text in texts[first : first + FIT_TEXTS]:
+                tokens = text.split()
+                memo.update((t, [self.number(p) for p in pieces(t)]) for t in set(tokens) if t not in memo)
+                ids.append(np.array([n for t in tokens for n in memo[t]], np.int64))
+            for shift in range(1, WINDOW + 1):
+                pairs = [a[:-shift] * len(names) + a[shift:] for a in ids if len(a) > shift]
+                if not pairs:
+                    continue
+                key, n = np.unique(np.concatenate(pairs), return_counts=True)
+                left, right = np.divmod(key, len(names))
+                for k in range(NONZERO):
+                    context += np.bincount(left * DIM + at[right, k], sign[right, k] * n, minlength=width)
+                    context += np.bincount(right * DIM + at[left, k], sign[left, k] * n, minlength=width)
         index, context = index.reshape(-1, DIM), context.reshape(-1, DIM)
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         self.table = (index + context / np.maximum(norm, 1e-9) * np.sqrt(NONZERO)).astype(np.float32)
@@ -99,10 +104,10 @@ class Vectors:
 class Pooler:
     """Mean token vector of a text; remembers token vectors."""
 
-    def __init__(self, vectors: Vectors):
-        self.vectors = vectors
+    def __init__(self, vectors: Vectors, remembered: int = MEMO_TOKENS):
+        self.vectors, self.remembered = vectors, remembered
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((MEMO_TOKENS, DIM), np.float32)
+        self.rows = np.zeros((remembered, DIM), np.float32)
 
     def _learn(self, fresh: list[str]) -> None:
         if not fresh:
@@ -122,7 +127,7 @@ class Pooler:
         for at in range(0, len(tokens), 20_000):
             part = tokens[at : at + 20_000]
             fresh = {t for t in set(part) if t not in self.memo}
-            if len(self.memo) + len(fresh) > MEMO_TOKENS:
+            if len(self.memo) + len(fresh) > self.remembered:
                 self.memo, fresh = {}, set(part)
             self._learn(list(fresh))
             ids = np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part))
@@ -180,7 +185,7 @@ class Model:
             self.constant = float(y[0]) if len(y) else 0.5
             return
         self.vectors = Vectors(texts)
-        pooler = Pooler(self.vectors)
+        pooler = Pooler(self.vectors, FIT_TOKENS)
         self.network = Network(np.stack([pooler.pool(t) for t in texts]).astype(np.float64), y, weights)
 
     def scorer(self):
