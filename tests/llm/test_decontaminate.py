@@ -68,3 +68,14 @@ def test_a_passage_in_every_document_is_found(spark):
     item = " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(25))
     df = spark.createDataFrame([(i, f"w{i} v{i} {item} z{i}") for i in range(400)], "doc_id long, text string")
     assert D.leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 400
+
+
+def test_an_edited_passage_in_many_documents_is_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    words = [word() for _ in range(50)]
+    edited = " ".join(word() if n % 10 == 4 else w for n, w in enumerate(words))
+    df = spark.createDataFrame([(i, f"w{i} v{i} {edited} z{i}") for i in range(300)] + [(300, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert D.leaks(df, bench).count() == 301
+    assert D.drop_leaks(df, bench).count() == 0

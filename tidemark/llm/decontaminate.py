@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-First pass: in how many documents each n-gram of the test items occurs, over the whole corpus. An item's n-grams that
-are rare next to their neighbours become its seeds, so every stretch of the item keeps at least its rarest n-gram,
-however often a leaked passage recurs. Second pass: documents are joined to items by seeds; where two or more seeds of
-an item fall close together, the item is aligned with the words around them, and the alignment's score, relative to a
-perfect one, says how much of the item is there, also if words were changed, dropped or put in.
+Every n-gram of a test item is a seed, however many documents it is in: dropping any by its count would lose passages
+whose edited form recurs. Where two or more seeds of an item fall close together, and enough of its words are there for
+the least score, the item is aligned with the words around them, and the alignment's score, relative to a perfect one,
+says how much of the item is there, also if words were changed, dropped or put in.
 
 The items are the query set. They are read in blocks of bounded size, each block sent whole to the executors and held
 against all documents; documents are never shuffled.
@@ -23,8 +22,6 @@ from tidemark.llm.common import text_slices
 
 #: Words of a seed; least relative score of a leak; words of an item that make a full passage.
 SEED_WORDS, MIN_SCORE, PASSAGE_WORDS = 3, 0.5, 50
-#: A seed's document count is at most this many times the smallest within REACH n-grams, plus SLACK.
-RARE_TIMES, RARE_SLACK, REACH = 10, 20, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Characters of test items in a block.
 BLOCK_CHARS = 8_000_000
@@ -72,8 +69,6 @@ class Items:
         for k, w in enumerate(self.words):
             if len(w) < SEED_WORDS:
                 self.short[tuple(w.tolist())].append(k)
-        grams = [self.grams(w) for w in self.words]
-        self.all = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
 
     def grams(self, w: np.ndarray) -> np.ndarray:
         """Numbers of the n-grams in order; -1 where a word is not in the vocabulary."""
@@ -88,18 +83,20 @@ class Items:
         out[~known] = -1
         return out
 
-    def seeds(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """n-gram to (item, position) for n-grams that are rare among their neighbours."""
+    def seeds(self) -> dict[int, list[tuple[int, int]]]:
+        """n-gram to (item, position), for every n-gram of every item."""
         found = defaultdict(list)
         for k, w in enumerate(self.words):
-            g = self.grams(w)
-            often = np.array([counts.get(x, 0) for x in g.tolist()], np.int64)
-            for p, x in enumerate(g.tolist()):
-                least = often[max(0, p - REACH) : p + REACH + 1].min()
-                if often[p] <= RARE_TIMES * least + RARE_SLACK:
-                    found[x].append((k, p))
+            for p, x in enumerate(self.grams(w).tolist()):
+                found[x].append((k, p))
         return dict(found)
 
+    def may_score(self, k: int, window: np.ndarray, min_score: float) -> bool:
+        """False where the words alone rule the score out: each counts MATCH at most, on both sides."""
+        item = self.words[k]
+        least = min_score * min(len(item), PASSAGE_WORDS)
+        return np.isin(window, item).sum() >= least and np.isin(item, window).sum() >= least
+
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Best local alignment scores of the rows of ``a`` with the rows of ``b``; negative numbers match nothing.
@@ -147,7 +144,7 @@ def _align(items: Items, todo: list) -> list[float]:
     return scores
 
 
-def _candidates(items: Items, seeds: dict, w: np.ndarray, keys: np.ndarray) -> list:
+def _candidates(items: Items, seeds: dict, w: np.ndarray, keys: np.ndarray, min_score: float) -> list:
     """(item, seeds met, window) of a document's word numbers."""
     whole = [(k, 0, w) for k in items.short.get(tuple(w.tolist()), ())] if 0 < len(w) < SEED_WORDS else []
     g = items.grams(w)
@@ -171,29 +168,12 @@ def _candidates(items: Items, seeds: dict, w: np.ndarray, keys: np.ndarray) -> l
             if len({p for p, _ in group}) >= need:
                 low = max(0, min(p - q for p, q in group) - m // 2 - 2)
                 high = max(p - q for p, q in group) + m + m // 2 + 2
-                whole.append((k, len(group), w[low:high]))
+                window = w[low:high]
+                if items.may_score(k, window, min_score):
+                    whole.append((k, len(group), window))
     return whole
 
 
-def _documents_with(items: Items, slim: DataFrame) -> dict[int, int]:
-    """In how many documents each of the block's n-grams occurs; at most one entry per n-gram of the block."""
-
-    def run(batches):
-        lookup, total = Lookup(items.vocabulary), np.zeros(len(items.all), np.int64)
-        for _, texts in text_slices(batches, 1, 4_000_000):
-            for text in texts:
-                g = np.unique(items.grams(lookup.numbers(text)))
-                at = np.minimum(np.searchsorted(items.all, g), len(items.all) - 1)
-                total[at[items.all[at] == g]] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(items.all[some]), pa.array(total[some])], ["gram", "n"])
-
-    if not len(items.all):
-        return {}
-    rows = slim.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r["gram"]: r["n"] for r in rows}
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
     slim = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -217,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     found = None
     for block in _blocks(benchmark, item_id_col, item_text_col):
         items = Items([(r["item_id"], r["text"]) for r in block.collect()])
-        seeds = items.seeds(_documents_with(items, slim))
+        seeds = items.seeds()
         rows = slim.mapInArrow(_finder(items, seeds, min_score), schema)
         found = rows if found is None else found.unionByName(rows)
     return found if found is not None else slim.sparkSession.createDataFrame([], schema)
@@ -231,7 +211,7 @@ def _finder(items: Items, seeds: dict, min_score: float):
         for part, texts in text_slices(batches, 1, 2_000_000):
             todo, owner, met = [], [], []
             for n, text in enumerate(texts):
-                for k, hits, window in _candidates(items, seeds, lookup.numbers(text), keys):
+                for k, hits, window in _candidates(items, seeds, lookup.numbers(text), keys, min_score):
                     todo.append((k, window))
                     owner.append(n)
                     met.append(hits)
@@ -252,10 +232,9 @@ def _finder(items: Items, seeds: dict, min_score: float):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns; judged row by row, null texts stay."""
     kept = docs
-    slim = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
     for block in _blocks(benchmark, "item_id", "text"):
         items = Items([(r["item_id"], r["text"]) for r in block.collect()])
-        seeds = items.seeds(_documents_with(items, slim))
+        seeds = items.seeds()
         kept = kept.mapInArrow(_keeper(items, seeds, min_score, docs.columns.index(text_col)), docs.schema)
     return kept
 
@@ -268,7 +247,7 @@ def _keeper(items: Items, seeds: dict, min_score: float, text_at: int):
         for part, texts in text_slices(batches, text_at, 2_000_000):
             todo, owner = [], []
             for n, text in enumerate(texts):
-                for k, _, window in _candidates(items, seeds, lookup.numbers(text), keys):
+                for k, _, window in _candidates(items, seeds, lookup.numbers(text), keys, min_score):
                     todo.append((k, window))
                     owner.append(n)
             keep = np.ones(len(texts), bool)
