@@ -69,6 +69,18 @@ def test_one_large_group_of_near_copies(spark):
     assert [r["doc_id"] for r in similar.keep_one(docs).collect()] == [0]
 
 
+def test_a_line_repeated_in_one_of_two_texts(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for _ in range(20):
+        base, line = [word() for _ in range(304)], [word() for _ in range(9)]
+        rows += [" ".join(base), " ".join(base + line * 100)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.keep_one(docs).collect()} == brute_groups(rows) == set(range(0, 40, 2))
+
+
 def test_stages_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in C.STAGES] == ["quality", "near-dedup", "decontamination", "pii", "mixing"]
