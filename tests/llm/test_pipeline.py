@@ -81,6 +81,36 @@ def test_a_line_repeated_in_one_of_two_texts(spark):
     assert {r["doc_id"] for r in similar.keep_one(docs).collect()} == brute_groups(rows) == set(range(0, 40, 2))
 
 
+def star(rng, copies, words=200, edits=4, first=0):
+    """An original and copies of it at a similarity of 0.80 to 0.88, mostly below 0.8 to each other."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = [" ".join(base)]
+    while len(rows) <= copies:
+        w = list(base)
+        for n in rng.sample(range(words), edits):
+            w[n] = f"x{rng.randrange(10**6)}"
+        if 0.8 <= jaccard(shingles(" ".join(w)), shingles(rows[0])) <= 0.88:
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return [(first + n, t) for n, t in enumerate(rows)]
+
+
+def test_copies_that_are_near_to_their_original_alone(spark):
+    rng = random.Random(10)
+    rows = star(rng, 150) + star(rng, 40, first=1000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.keep_one(docs).collect()} == brute_groups(rows) == {0, 1000}
+
+
+def test_tiles_of_several_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = star(rng, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similar, "TILE_SHINGLES", 2000)
+    monkeypatch.setattr(similar, "ROUNDS", 1)
+    assert {r["doc_id"] for r in similar.keep_one(docs).collect()} == {0}
+
+
 def test_stages_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in C.STAGES] == ["quality", "near-dedup", "decontamination", "pii", "mixing"]
