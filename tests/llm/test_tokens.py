@@ -22,6 +22,15 @@ def test_counts_match_the_library():
     assert tokens.Counter(tokens.MergeTable(PATH)).counts(texts) == expected
 
 
+def test_every_code_point():
+    points = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = points + [f"a{c}B" for c in points]
+    library = Tokenizer.from_file(PATH)
+    counter = tokens.Counter(tokens.MergeTable(PATH))
+    differ = [t for t, e, n in zip(texts, library.encode_batch(texts, add_special_tokens=False), counter.counts(texts), strict=True) if len(e.ids) != n]
+    assert differ == []
+
+
 def test_whole_table_and_edge_rows(spark):
     rows = [(1, "one two", "x"), (None, None, "y"), (2, "", None), (2, "", None), (3, "long word " * 30_000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
