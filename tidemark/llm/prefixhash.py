@@ -19,8 +19,8 @@ PRIME = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 #: Code points in a sketched span, bins of the sketch, hex digits of a bin.
 SPAN, BINS, DIGITS = 12, 128, 3
-#: Rows in a range bucket, and the most buckets.
-BUCKET_ROWS, MAX_BUCKETS = 4000, 16384
+#: Bytes of text in a range of ids; the most ranges (beyond that ranges grow); sampled rows for each range's bound.
+RANGE_BYTES, MOST_RANGES, PER_RANGE = 4_000_000, 100_000, 40
 
 
 class Powers:
@@ -89,20 +89,31 @@ def same_span(a: PrefixHash, i: int, b: PrefixHash, j: int, length: int) -> bool
 
 
 def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
-    """The greatest length at which the spans from ``i`` and ``j`` are equal, by binary search."""
-    low, high = 0, min(a.n - i, b.n - j)
-    while low < high:
-        middle = (low + high + 1) // 2
-        if same_span(a, i, b, j, middle):
-            low = middle
-        else:
-            high = middle - 1
-    return low
+    """The greatest length at which the spans from ``i`` and ``j`` are equal, by binary search.
+
+    Equal spans have equal hashes, so no shorter length is found; a longer one, from hashes that are equal by chance, is
+    rejected by the code points and sought again below.
+    """
+    most = min(a.n - i, b.n - j)
+    while True:
+        low, high = 0, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            if same_span(a, i, b, j, middle):
+                low = middle
+            else:
+                high = middle - 1
+        if np.array_equal(a.points[i : i + low], b.points[j : j + low]):
+            return low
+        most = low - 1
 
 
 def fingerprint(text: str) -> str:
     """16 hex digits of length and whole-text hash, then BINS groups of DIGITS hex digits (all 0: an empty bin)."""
-    hashed = PrefixHash(text)
+    return fingerprint_of(PrefixHash(text))
+
+
+def fingerprint_of(hashed: PrefixHash) -> str:
     spans = (hashed.spans(SPAN) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     spans ^= spans >> np.uint64(29)
     spans *= np.uint64(0xBF58476D1CE4E5B9)
@@ -130,76 +141,94 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _bucket(boundaries: list, value):
-    """Number of boundaries at or below a value, by binary search in a literal array."""
-    depth = max(1, len(boundaries).bit_length())
-    padded = boundaries + [2**63 - 1] * ((1 << depth) - len(boundaries))
-    array = F.array(*map(F.lit, padded)) if len(padded) <= 64 else F.from_json(F.lit(str(padded)), "array<bigint>")
+def _place(bounds: list, value):
+    """Number of (id, hash) bounds at or below a value, by binary search in a literal array."""
+    depth = max(1, len(bounds).bit_length())
+    beyond = [(2**63 - 1, 2**63 - 1)] * ((1 << depth) - len(bounds))
+    shown = ",".join(f'{{"a":{"null" if i is None else i},"b":{h}}}' for i, h in bounds + beyond)
+    array = F.from_json(F.lit(f"[{shown}]"), "array<struct<a:bigint,b:bigint>>")
     steps = F.sequence(F.lit(depth - 1), F.lit(0), F.lit(-1))
 
     def step(low, s):
-        # so many boundaries are known to be at or below the value
+        # so many bounds are known to be at or below the value
         jump = F.element_at(F.array(*[F.lit(1 << i) for i in range(depth)]), (s + 1).cast("int"))
         return F.when(F.element_at(array, (low + jump).cast("int")) <= value, low + jump).otherwise(low)
 
     return F.aggregate(steps, F.lit(0), step)
 
 
+def range_bounds(slim: DataFrame) -> list[tuple]:
+    """(id, hash) bounds of ranges of about equal bytes, from a bounded sample of (doc_id, turn, bytes) rows."""
+    size = slim.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    ranges = min(MOST_RANGES, 1 + int((size["bytes"] or 0) // RANGE_BYTES))
+    if ranges == 1:
+        return []
+    drawn = F.pmod(F.xxhash64("doc_id", "turn", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, PER_RANGE * ranges / size["n"]) * (1 << 30))
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["turn"], r["bytes"]) for r in slim.where(drawn).collect()))
+    total = np.cumsum([r[3] for r in rows]) if rows else np.zeros(0)
+    at = np.unique(np.searchsorted(total, [total[-1] * i / ranges for i in range(1, ranges)])) if len(total) else []
+    return sorted({(rows[i][1] if rows[i][0] else None, rows[i][2]) for i in at}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sorted partitions of (bucket, ahead, doc_id, text): each bucket is a range of ids, then the row that follows it.
+    """Sorted partitions of (bucket, ahead, doc_id, text): each bucket is a range of rows, then the row that follows it.
 
-    Ids are cut into ranges at approximate quantiles; the first id of each range is found exactly and its row is
-    also dealt, as ``ahead``, to the range before (the first range's to the last), so that every row's successor lies
-    in its own range and texts are shuffled once.
+    Rows are ordered by id (nulls first) and a hash of their text and cut into ranges of about equal bytes. The first
+    row of each range is found exactly and is also dealt, as ``ahead``, to the range before (the first range's to the
+    last), so that every row's successor lies in its own range; texts are shuffled once, one range to a task.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = slim.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
-    cuts = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        found = slim.select(F.percentile_approx("doc_id", shares, max(10_000, 10 * buckets)).alias("q")).first()["q"]
-        cuts = sorted(set(found or []))
-    place = F.when(F.col("doc_id").isNull(), -1).otherwise(_bucket(cuts, F.col("doc_id")) if cuts else F.lit(0))
-    heads = sorted(
-        ((r["bucket"], r["first"]) for r in slim.select("doc_id", place.alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()),
-    )
-    ahead = [(first, heads[i - 1][0]) for i, (_, first) in enumerate(heads)]
-    small = slim.sparkSession.createDataFrame(ahead, "head long, before int")
-    marked = slim.join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(place.cast("int").alias("bucket"), F.lit(False).alias("ahead"))
+    text = F.col(f"`{text_col}`")
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("turn"), text.alias("text"))
+    keys = slim.select("doc_id", "turn", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    bounds = range_bounds(keys)
+    place = _place(bounds, F.struct(F.col("doc_id").alias("a"), F.col("turn").alias("b"))) if bounds else F.lit(0)
+    firsts = keys.groupBy(place.alias("bucket")).agg(F.min(F.struct("doc_id", "turn")).alias("first")).collect()
+    heads = sorted((r["bucket"], r["first"]["doc_id"], r["first"]["turn"]) for r in firsts)
+    number = {bucket: n for n, (bucket, _, _) in enumerate(heads)}
+    ahead = [(i, t, n - 1 if n else len(heads) - 1) for n, (_, i, t) in enumerate(heads)]
+    small = slim.sparkSession.createDataFrame(ahead, "head long, head_turn long, before int")
+    marked = slim.join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("turn") == F.col("head_turn")), "left")
+    dense = F.element_at(F.from_json(F.lit(str([number.get(b, 0) for b in range(len(bounds) + 1)])), "array<int>"), (place + 1).cast("int")) if bounds else F.lit(0)
+    own = F.struct(dense.cast("int").alias("bucket"), F.lit(False).alias("ahead"))
     also = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ahead"))
     to = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))
-    dealt = marked.select(F.explode(to).alias("to"), "doc_id", "text").select("to.bucket", "to.ahead", "doc_id", "text")
-    return dealt.repartition(max(1, len(heads)), "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    dealt = marked.select(F.explode(to).alias("to"), "doc_id", "turn", "text").select("to.bucket", "to.ahead", "doc_id", "turn", "text")
+    sorted_ = dealt.repartitionById(max(1, len(heads)), F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "turn")
+    return sorted_.select("bucket", "ahead", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, same_edited, same_next.
 
     The next document is the next row in order of id (nulls first, rows of one id by a hash of the text), after the
     last the first; the only row of a table follows itself. Null text is empty; two empty texts have likeness 1.
-    Ids must be integers. An empty table gives an empty table; other columns are ignored.
+    ``same_edited`` and ``same_next`` are the lengths in code points of the longest common extension from the start of
+    the text with its edited text and with the next one, found by binary search on the prefix arrays. Ids must be
+    integers. An empty table gives an empty table; other columns are ignored, whatever their names.
     """
     rows = with_next(docs, id_col, text_col)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        held = None  # (bucket, id, text, fingerprint) that waits for its successor
+        held = None  # (bucket, id, text, its prefix arrays, its fingerprint) that waits for its successor
         for batch in batches:
             out = []
             for bucket, ahead, doc_id, text in zip(*[batch.column(i) for i in range(4)], strict=True):
                 bucket, ahead, doc_id, text = bucket.as_py(), ahead.as_py(), doc_id.as_py(), text.as_py() or ""
-                mine = fingerprint(text)
+                hashed = PrefixHash(text)
+                mine = fingerprint_of(hashed)
                 if held is not None and held[0] == bucket:
-                    _, i, t, f = held
+                    _, i, t, h, f = held
                     other = edited(t, text)
-                    theirs = fingerprint(other) if other != t else f
+                    changed = PrefixHash(other) if other != t else h
+                    theirs = fingerprint_of(changed) if changed is not h else f
                     digest = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((i, len(t), digest, f, theirs, likeness(f, theirs), likeness(f, mine)))
-                held = None if ahead else (bucket, doc_id, text, mine)
+                    shared = common_extension(h, 0, changed, 0), common_extension(h, 0, hashed, 0)
+                    out.append((i, len(t), digest, f, theirs, likeness(f, theirs), likeness(f, mine), *shared))
+                held = None if ahead else (bucket, doc_id, text, hashed, mine)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return rows.mapInArrow(run, schema)
