@@ -34,8 +34,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
-    index = warc.read_index(spark, path)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.read_records(spark, path)
+    size = F.octet_length("payload").cast("long").alias("payload_bytes")
+    return records.select("page_id", size, F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

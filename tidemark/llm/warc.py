@@ -64,7 +64,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     stored.select(
         F.when(verified, F.col("digest")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("digest"),
         "payload", "bytes", "n",
-    ).write.parquet(f"{path}/payloads")
+    ).write.option("compression", "zstd").parquet(f"{path}/payloads")
     slim = records.select("id", "url", "digest", "bytes")
     firsts = (
         slim.groupBy("digest")
