@@ -1,15 +1,18 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
 Every detected entity gets a replacement of its own kind and format: digits for digits with the separators of the
-mention, check digits that hold where they held, addresses for addresses, names of the gender of the form of address
-and of the script of the original. A surrogate depends on the key, the kind and the normalised value alone, so all
-mentions of one entity, anywhere, get the same one.
+mention, check digits (Luhn, IBAN) that hold where they held, the country of an IBAN, the first digit of a card,
+addresses for addresses, names of the gender of the form of address or given name and of the script of the original. A
+surrogate depends on the key, the kind and the normalised value alone, so all mentions of one entity, anywhere, get the
+same one. A name is made of its parts: a given name (by gender) and a surname are entities of their own, so every mention
+of a person keeps the surname that all other mentions have.
 
 Digit kinds and IPv4 addresses go through a keyed permutation (a Feistel network over the two halves), which cannot
 merge two values; others through a keyed digest. Collision checks run over the distinct entities of the whole corpus:
 a surrogate that equals another entity, or that two entities share, is made again with the next attempt number until
-none is left. Texts are rewritten where they are scanned, without a shuffle; only where some attempt is above 0 are the
-documents joined to those (few) attempts.
+none is left; the surrogates of names grow with the attempts, so that their space is never exhausted. Texts are
+rewritten where they are scanned, without a shuffle; attempts above 0 (few) are joined to the texts that hold them, by a
+hash of the text.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import broadcast_if_small, checkpoint
 
 # Forms of address by gender and language.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
@@ -39,26 +42,46 @@ SYLLABLES = {
     "greek": ("βα", "δε", "κι", "λο", "μυ", "να", "ρε", "σι", "το", "φυ", "γα", "πε", "φι", "ζο", "λυ", "μα"),
 }
 
+# Forms of address without a gender; given names that tell a name without a form of address.
+TITLES = ("Dr", "Prof", "Professor", "Доктор", "Профессор")
+KNOWN_MALE = ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Peter", "Hans", "Klaus", "Jürgen", "Carlos", "José", "Juan", "Pierre", "Jean", "Иван", "Пётр", "Сергей")
+KNOWN_FEMALE = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Anna", "Emma", "Laura", "Maria", "María", "Sabine", "Petra", "Carmen", "Marie", "Sophie", "Ольга", "Мария", "Елена")
+# Capitalised words that are no names.
+NO_NAMES = ("The", "This", "That", "These", "Those", "And", "But", "Or", "For", "Not", "You", "He", "She", "It", "We", "They", "His", "Her", "In", "On", "At", "Of", "To", "From", "With", "Is", "Was", "Are", "Der", "Die", "Das", "Und", "Ein", "Eine", "El", "La", "Los", "Las", "Un", "Una", "Y", "Le", "Les", "Une", "Et", "Des", "Du")
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-#: Kind and pattern, in order of precedence.
+_NAME = rf"(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]+"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+
+
+def _either(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+#: Kind, what may not stand before (a letter or digit never may), pattern, and what may not follow; in order of precedence.
 PATTERNS = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"),
-    ("secret", r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|(?=[a-fA-F]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?![\p{L}\p{N}])"),
-    ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("mac", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:])"),
-    ("ipv6", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"),
-    ("ipv4", rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"),
-    ("ssn", r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"),
-    ("card", r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"),
-    ("phone", r"(?<![\p{L}\p{N}.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5})(?![\p{L}\p{N}])"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(MALE_TITLES + FEMALE_TITLES, key=lambda t: -len(t)))})\.? {_NAME}(?: {_NAME})?"),
+    ("email", r"(?<![._%+-])", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+", ""),
+    ("secret", "", r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|(?=[a-fA-F]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))", r"(?![\p{L}\p{N}])"),
+    ("iban", "", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![\p{L}\p{N}])"),
+    ("mac", "(?<!:)", r"(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}", r"(?![\p{L}\p{N}:])"),
+    ("ipv6", "(?<!:)", rf"(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})", r"(?![\p{L}\p{N}:])"),
+    ("ipv4", r"(?<!\.)", rf"{_OCTET}(?:\.{_OCTET}){{3}}", r"(?![\p{L}\p{N}]|\.\d)"),
+    ("ssn", "(?<!-)", r"\d{3}-\d{2}-\d{4}", r"(?![\p{L}\p{N}]|-\d)"),
+    ("card", r"(?<!\.)", r"(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})", r"(?![\p{L}\p{N}]|\.\d)"),
+    ("phone", r"(?<!\.)", r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5})", r"(?![\p{L}\p{N}]|\.\d)"),
+    ("name", "", rf"(?:{_either(MALE_TITLES + FEMALE_TITLES + TITLES)}\.? {_NAME}|{_either(KNOWN_MALE + KNOWN_FEMALE)} {_NAME})(?: {_NAME}){{0,2}}", ""),
 )
-ANY = "|".join(p for _, p in PATTERNS)
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(before + body + after for _, before, body, after in PATTERNS) + ")"
+#: What every text with a mention has somewhere.
+HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|xox[abprs]-|(?<!\p{{L}}){_either(MALE_TITLES + FEMALE_TITLES + TITLES + KNOWN_MALE + KNOWN_FEMALE)}\.? \p{{Lu}}"
+#: Digits of a card whose length and beginning an issuer uses.
+ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|6\d{15,18})$"
 DIGIT_KINDS = ("card", "phone", "ssn")
 ROUNDS = 8
 #: Attempts before the check gives up; each attempt is made for colliding entities only.
 MAX_ATTEMPTS = 64
+#: Rows of a side that is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def let(value: Column, body) -> Column:
@@ -67,12 +90,16 @@ def let(value: Column, body) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
+    """The kind of a mention; ``none`` for a plain run of digits whose beginning or check digit is no card's."""
     out = F.lit("name")
-    for kind, pattern in reversed(PATTERNS[:-1]):
+    for kind, _, body, _ in reversed(PATTERNS[:-1]):
         # the mention is a whole match, so its surroundings need no second look
-        bare = pattern.split("])", 1)[1] if pattern.startswith("(?<![") else pattern
-        bare = bare[: bare.rindex("(?![")] if "(?![" in bare else bare
-        out = F.when(mention.rlike(f"^(?:{bare})$"), F.lit(kind)).otherwise(out)
+        mine = F.lit(kind)
+        if kind == "card":
+            number = digits(mention)
+            real = mention.rlike("[ -]") | (number.rlike(ISSUED) & (F.pmod(_luhn_sum(F.substr(number, F.lit(1), F.length(number) - 1)) + F.substr(number, F.length(number), F.lit(1)).cast("int"), F.lit(10)) == 0))
+            mine = F.when(real, "card").otherwise("none")
+        out = F.when(mention.rlike(f"^{body}$"), mine).otherwise(out)
     return out
 
 
@@ -89,7 +116,6 @@ def normal_form(kind: Column, mention: Column) -> Column:
         .when(kind.isin("card", "ssn"), F.concat(F.lit("|"), digits(mention)))
         .when(kind == "email", F.lower(mention))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
-        .when(kind == "name", F.regexp_replace(mention, r"^(\p{L}+)\. ", "$1 "))
         .otherwise(mention)
     )
 
@@ -136,11 +162,34 @@ def _luhn_sum(value: Column) -> Column:
 
 
 def _card(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """All digits but the last are permuted; the last keeps its distance from the right check digit."""
-    body = F.substr(value, F.lit(1), F.length(value) - 1)
-    last = F.substr(value, F.length(value), F.lit(1)).cast("int")
-    checked = lambda new: F.concat(new, F.pmod(last + _luhn_sum(body) - _luhn_sum(new), F.lit(10)).cast("string"))
-    return let(_permuted_digits(key, kind, body, attempt), checked)
+    """The first digit stays, the others but the last are permuted; the last keeps its distance from the right check digit."""
+    head, last = F.substr(value, F.lit(1), F.lit(1)), F.substr(value, F.length(value), F.lit(1)).cast("int")
+    old = F.substr(value, F.lit(1), F.length(value) - 1)
+    checked = lambda new: F.concat(new, F.pmod(last + _luhn_sum(old) - _luhn_sum(new), F.lit(10)).cast("string"))
+    return let(F.concat(head, _permuted_digits(key, kind, F.substr(old, F.lit(2)), attempt)), checked)
+
+
+def _iban_check(country: Column, account: Column) -> Column:
+    """The right check number, 2 to 98, of an IBAN."""
+    line = F.concat(account, country, F.lit("00"))
+
+    def add(rest: Column, i: Column) -> Column:
+        c = F.substr(line, i, F.lit(1))
+        number = F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+        return F.pmod(rest * F.when(number > 9, 100).otherwise(10) + number, F.lit(97))
+
+    return F.lit(98) - F.aggregate(F.sequence(F.lit(1), F.length(line)), F.lit(0), add)
+
+
+def _iban(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+    """Country kept, account masked; the check number keeps its distance from the right one."""
+    country, check, account = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(3), F.lit(2)).cast("int"), F.substr(value, F.lit(5))
+
+    def whole(new: Column) -> Column:
+        moved = F.pmod(_iban_check(country, new) + check - _iban_check(country, account) - 2, F.lit(97)) + 2
+        return F.concat(country, F.lpad(moved.cast("string"), 2, "0"), new)
+
+    return let(_masked(key, kind, account, attempt), whole)
 
 
 def _ipv4(key: str, value: Column, attempt: Column) -> Column:
@@ -184,32 +233,46 @@ def _email(key: str, value: Column, attempt: Column) -> Column:
     return F.concat(box, F.lit("@"), where, F.lit("."), F.substring_index(host, ".", -1))
 
 
-def _name(key: str, value: Column, attempt: Column) -> Column:
-    """Form of address kept; a surname by its own digest, a given name by its own and the gender."""
-    words = F.split(value, " ")
-    title, n = words[0], F.size(words)
-    script = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.element_at(words, -1).rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(title.isin(*MALE_TITLES), "m").otherwise("f")
-    family = F.element_at(words, -1)
+def _by_script(word: Column, make) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), make("cyrillic")).when(word.rlike(r"\p{IsGreek}"), make("greek")).otherwise(make("latin"))
+
 
-    def pick(options, seed: Column) -> Column:
-        return F.element_at(F.array(*map(F.lit, options)), (seed % len(options) + 1).cast("int"))
+def _pick(options, seed: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, options)), (F.pmod(seed, F.lit(len(options))) + 1).cast("int"))
 
-    def by_script(make) -> Column:
-        return F.when(script == "cyrillic", make("cyrillic")).when(script == "greek", make("greek")).otherwise(make("latin"))
 
-    def surname(s: str) -> Column:
-        parts = [pick(SYLLABLES[s], F.shiftright(_number(key, F.lit("family"), family, F.when(n > 2, F.lit("0")).otherwise(attempt.cast("string"))), 5 * i)) for i in range(5)]
-        return F.initcap(F.concat(*parts))
+def _syllables(script: str, seed: Column, n: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[script], F.floor(seed / F.pow(F.lit(16.0), i)))), "")
 
-    def given(s: str) -> Column:
-        seed = _number(key, F.lit("given"), words[1], attempt.cast("string"))
-        first = F.when(gender == "m", pick(GIVEN[s, "m"], seed)).otherwise(pick(GIVEN[s, "f"], seed))
-        middle = pick(SYLLABLES[s], F.shiftright(seed, 12))
-        # past a few attempts the eight given names of a gender are drawn out with a syllable
-        return F.when(attempt > 3, F.concat(first, F.lit("-"), F.initcap(F.concat(middle, pick(SYLLABLES[s], F.shiftright(seed, 20)))))).otherwise(first)
 
-    return F.when(n > 2, F.concat_ws(" ", title, by_script(given), by_script(surname))).otherwise(F.concat_ws(" ", title, by_script(surname)))
+def _family(key: str, value: Column, attempt: Column) -> Column:
+    """Five syllables, and one more for every attempt up to five."""
+    seed = _number(key, F.lit("family"), value, attempt.cast("string"))
+    return let(seed, lambda x: _by_script(value, lambda s: F.initcap(_syllables(s, x, 5 + F.least(attempt, F.lit(5))))))
+
+
+def _given(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+    """A given name of the gender, drawn out with syllables after the first attempt."""
+    seed = _number(key, kind, value, attempt.cast("string"))
+
+    def made(x: Column) -> Column:
+        first = _by_script(value, lambda s: F.when(kind == "given-m", _pick(GIVEN[s, "m"], x)).otherwise(_pick(GIVEN[s, "f"], x)))
+        more = _by_script(value, lambda s: F.initcap(_syllables(s, x, 1 + F.least(attempt, F.lit(8)))))
+        return F.when(attempt > 0, F.concat(first, F.lit("-"), more)).otherwise(first)
+
+    return let(seed, made)
+
+
+def name_parts(mention: Column) -> Column:
+    """(kind, normal) of the parts of a name after its form of address: given names, and the surname last."""
+    words = F.split(mention, " ")
+    head = F.regexp_replace(words[0], r"\.$", "")
+    titled = head.isin(*MALE_TITLES, *FEMALE_TITLES, *TITLES)
+    rest = F.when(titled, F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    first = rest[0]
+    male = F.when(head.isin(*MALE_TITLES), True).when(head.isin(*FEMALE_TITLES), False).when(first.isin(*KNOWN_MALE), True).when(first.isin(*KNOWN_FEMALE), False).otherwise(F.pmod(F.crc32(first), F.lit(2)) == 0)
+    given = F.when(male, "given-m").otherwise("given-f")
+    return F.transform(rest, lambda w, i: F.struct(F.when(i == F.size(rest) - 1, "family").otherwise(given).alias("kind"), w.alias("normal")))
 
 
 def surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Column:
@@ -220,13 +283,15 @@ def surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Column
         .when(kind.isin("phone", "ssn"), F.concat(calling, F.lit("|"), _permuted_digits(key, kind, rest, attempt)))
         .when(kind == "ipv4", _ipv4(key, normal, attempt))
         .when(kind == "email", _email(key, normal, attempt))
-        .when(kind == "name", _name(key, normal, attempt))
+        .when(kind == "family", _family(key, normal, attempt))
+        .when(kind.isin("given-m", "given-f"), _given(key, kind, normal, attempt))
+        .when(kind == "iban", _iban(key, kind, normal, attempt))
         .otherwise(_masked(key, kind, normal, attempt))
     )
 
 
 def render(kind: Column, mention: Column, made: Column) -> Column:
-    """A surrogate in the format of a mention: its separators, its case, its full stop after the form of address."""
+    """A surrogate in the format of a mention: its separators and its case."""
     calling, new = F.substring_index(made, "|", 1), F.substring_index(made, "|", -1)
     slots = F.when(kind == "iban", F.lit(r"[^ ]")).otherwise(F.lit(r"[0-9]"))
     body = F.when(kind == "phone", F.substr(mention, F.length(calling) + 1)).otherwise(mention)
@@ -241,25 +306,37 @@ def render(kind: Column, mention: Column, made: Column) -> Column:
     return (
         F.when(kind == "phone", F.concat(calling, spaced)).when(kind.isin("card", "ssn", "iban"), spaced)
         .when((kind == "email") & upper, F.upper(made))
-        .when((kind == "name") & mention.rlike(r"^\p{L}+\. "), F.regexp_replace(made, r"^(\p{L}+) ", "$1. "))
         .otherwise(made)
     )
 
 
 def mentions(text: Column) -> Column:
-    """All detected mentions in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """All matches of the patterns in order; runs of digits that are no cards are among them. Null for most others."""
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
 def named(found: Column) -> Column:
-    """Mentions to structs of mention, kind, normal. One step at a time, so that no step's work is repeated."""
+    """Mentions to structs of mention, kind and parts: the (kind, normal) entities it is made of, in order.
+
+    One step at a time, so that no step's work is repeated.
+    """
     kinds = F.transform(found, lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
-    return F.transform(kinds, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), normal_form(e["kind"], e["mention"]).alias("normal")))
+
+    def parts(e: Column) -> Column:
+        one = F.array(F.struct(e["kind"].alias("kind"), normal_form(e["kind"], e["mention"]).alias("normal")))
+        return F.when(e["kind"] == "name", name_parts(e["mention"])).when(e["kind"] != "none", one).otherwise(F.slice(one, 1, 0))
+
+    return F.transform(kinds, lambda e: F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), parts(e).alias("parts")))
+
+
+def tags(text: Column) -> Column:
+    """The distinct (kind, normal) entities of a text."""
+    return F.array_distinct(F.flatten(F.transform(named(F.array_distinct(mentions(text))), lambda e: e["parts"])))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct entities of the corpus: kind, normal."""
-    found = docs.select(F.explode(named(F.array_distinct(mentions(F.col(text_col))))).alias("e"))
+    found = docs.select(F.explode(tags(F.col(f"`{text_col}`"))).alias("e"))
     return found.select("e.kind", "e.normal").distinct()
 
 
@@ -280,7 +357,7 @@ def later_attempts(docs: DataFrame, key: str, text_col: str = "text") -> DataFra
     raise RuntimeError("surrogates still collide; the space of a kind is exhausted")
 
 
-def replace(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its text rewritten, and the column ``n_entities``.
 
     Null text stays null with 0 entities; texts without entities stay as they are. Other columns are carried, whatever
@@ -288,31 +365,37 @@ def replace(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str
     fine. An empty table gives an empty table. Equal keys give equal surrogates on every run.
     """
     attempts = checkpoint(later_attempts(docs, key, text_col))
-    kept = [c for c in docs.columns if c != "n_entities"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = [c for c in docs.columns if c.lower() != "n_entities"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     tag = lambda e: F.concat(e["kind"], F.lit("|"), e["normal"])
     if attempts.isEmpty():
         rows = rows.withColumn("again", F.lit(None).cast("map<string,int>"))
     else:
+        # the attempts that a text needs depend on the text alone, so its hash finds them
         tagged = attempts.select(F.concat("kind", F.lit("|"), "normal").alias("tag"), "attempt")
-        found = rows.select("id", F.explode(F.transform(named(F.array_distinct(mentions(F.col("text")))), tag)).alias("tag")).distinct()
-        again = found.join(tagged, "tag").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "attempt"))).alias("again"))
-        again = again.withColumnRenamed("id", "again_id")
-        rows = rows.join(again, F.col("id").eqNullSafe(F.col("again_id")), "left")
-    split = rows.select("row", "again", "text", mentions(F.col("text")).alias("found"), F.split(F.col("text"), ANY, -1).alias("between"))
-
-    def made(e: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.col("again"), tag(e)), F.lit(0))
-        new = let(attempt, lambda n: surrogate(key, e["kind"], e["normal"], n))
-        return F.struct(e["mention"].alias("mention"), e["kind"].alias("kind"), new.alias("made"))
-
-    pieces = F.transform(
-        F.transform(named(F.col("found")), made),
-        lambda e, i: F.concat(render(e["kind"], e["mention"], e["made"]), F.get(F.col("between"), i + 1)),
-    )
+        found = rows.select(F.xxhash64("text").alias("of"), F.explode(F.transform(tags(F.col("text")), tag)).alias("tag")).distinct()
+        again = found.join(broadcast_if_small(tagged, BROADCAST_ROWS), "tag").groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("tag", "attempt"))).alias("again"))
+        again = checkpoint(again)
+        rows = rows.withColumn("of", F.xxhash64("text")).join(broadcast_if_small(again, BROADCAST_ROWS), "of", "left")
+    split = rows.select("row", "again", "text", named(mentions(F.col("text"))).alias("found"))
+    split = split.withColumn("between", F.when(F.size("found") > 0, F.split(F.col("text"), ANY, -1)))
+
+    def made(part: Column) -> Column:
+        attempt = F.coalesce(F.try_element_at(F.col("again"), tag(part)), F.lit(0))
+        return let(attempt, lambda n: surrogate(key, part["kind"], part["normal"], n))
+
+    def rendered(e: Column) -> Column:
+        # a name keeps its form of address, which is what its parts leave over
+        words = F.split(e["mention"], " ")
+        title = F.array_join(F.slice(words, F.lit(1), F.size(words) - F.size(e["parts"])), " ")
+        name = F.concat_ws(" ", F.nullif(title, F.lit("")), F.transform(e["parts"], made))
+        return F.when(e["kind"] == "none", e["mention"]).when(e["kind"] == "name", name).otherwise(let(made(e["parts"][0]), lambda m: render(e["kind"], e["mention"], m)))
+
+    pieces = F.transform(F.col("found"), lambda e, i: F.concat(rendered(e), F.get(F.col("between"), i + 1)))
     whole = F.concat(F.col("between")[0], F.array_join(pieces, ""))
     new = F.when(F.size("found") > 0, whole).otherwise(F.col("text"))
+    counted = F.size(F.filter(F.col("found"), lambda e: e["kind"] != "none"))
     return split.select(
         *[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in kept],
-        F.coalesce(F.size("found"), F.lit(0)).alias("n_entities"),
+        F.greatest(F.coalesce(counted, F.lit(0)), F.lit(0)).alias("n_entities"),
     )
