@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Where the session names none, a fresh one in local mode; else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -53,6 +55,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{stem}"
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(doc_id, modulus: int):
     """crc32 of the id as text, modulo: the fold of a row. A null id is in fold 0 of the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
@@ -76,30 +87,28 @@ def text_slices(batches, text_at: int, max_chars: int) -> Iterator[tuple[list, l
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, eligible, bound: int, seed: int = 7):
     """A class-balanced, bounded sample of labelled rows for fitting a classifier on the driver.
 
-    At most ``bound`` labelled documents, half of each class, are chosen by a hash of their id; their whole
-    texts follow. Returns (texts, labels 0/1 as an array, weights): a weight is the number of eligible labelled
-    rows of that class divided by the number sampled, so that the fit sees the true class ratio. Null ids, null
-    labels and labelled rows without a document are passed over; of contradicting labels of one id the smaller
-    counts. Repeated ids give one row each.
+    At most ``bound`` labelled documents, half of each class, are chosen by a hash of their id, of any type; their whole
+    texts follow, at most ``bound`` of them. Returns (texts, labels 0/1 as an array, weights): a weight is the number of
+    eligible labelled ids of that class divided by the number sampled, so that the fit sees the true class ratio. Null
+    ids, null labels and labelled ids without a document are passed over; of contradicting labels of one id the smaller
+    counts. An id that several documents have gives one text, that of the smallest hash.
     """
-    spark = docs.sparkSession
     own = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
         .where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & eligible("__id"))
         .groupBy("__id").agg(F.min("__y").alias("__y"))
     )
     counts = {r["__y"]: r["n"] for r in own.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    chosen = []
-    for y in (0, 1):
-        if counts.get(y):
-            chosen += own.where(F.col("__y") == y).orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(bound // 2).collect()
+    drawn = F.xxhash64("__id", F.lit(seed))
+    chosen = [own.where(F.col("__y") == y).orderBy(drawn, "__id").limit(bound // 2) for y in (0, 1) if counts.get(y)]
     if not chosen:
         return [], np.zeros(0, np.int64), np.zeros(0)
-    ids = spark.createDataFrame([(r["__id"], r["__y"]) for r in chosen], "__id long, __y int")
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(ids), "__id").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__id"], r["__text"] or ""))
-    rows = rows[: 2 * bound]
+    ids = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])  # at most ``bound`` rows
+    text = F.coalesce("text", F.lit("")).alias("__text")
+    found = docs.select(F.col("doc_id").alias("__id"), text).join(F.broadcast(ids), "__id")
+    rows = found.groupBy("__id", "__y").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), str(r["__id"])))
     y = np.array([r["__y"] for r in rows], np.int64)
     n = np.bincount(y, minlength=2)
     weights = np.array([counts[k] / n[k] if n[k] else 0.0 for k in (0, 1)])[y] if len(y) else np.zeros(0)
-    return [r["__text"] or "" for r in rows], y, weights
+    return [r["__text"] for r in rows], y, weights

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, text_slices
 
-#: Bound of documents in the fitting sample (shared among languages), and of the words taken from one of them.
-SAMPLE_ROWS, SAMPLE_WORDS = 2000, 240
+#: Bound of labelled documents in the fitting sample, shared among languages; they are learned from whole.
+SAMPLE_ROWS = 1200
 #: Bits of a hashed feature, lexicon words per language, words in a training sequence and in a span of one language.
 HASH_BITS, LEXICON, SEQUENCE, SPAN_WORDS = 16, 2000, 48, (4, 16)
 FOLDS, HELD_OUT = 4, 2
@@ -32,8 +32,8 @@ UNKNOWN = "und"
 def feature_rows(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of all features of lower-cased words.
 
-    Words are marked at both ends, so that n-grams of 2 to 4 characters take in the affixes of up to 3; lexicon words
-    have a bucket of their own behind the hashed ones.
+    The features are n-grams of 2 to 4 characters of the word marked at both ends, its prefixes and suffixes of 1 to 4
+    characters, and for lexicon words a bucket of their own behind the hashed ones.
     """
     marked = "".join([f"^{w}$" for w in words])
     points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -41,13 +41,22 @@ def feature_rows(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray,
     word = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # characters from here to the word's end
     owners, buckets = [], []
-    code = points.copy()
-    for n in (2, 3, 4):
-        code = code[:-1] * np.uint64(1_000_003) + points[n - 1 :]
-        ok = left[: len(code)] >= n
-        mixed = (code[ok] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        owners.append(word[: len(code)][ok])
+
+    def add(owner: np.ndarray, codes: np.ndarray, salt: int) -> None:
+        mixed = (codes + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        owners.append(owner)
         buckets.append((mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+
+    ends = np.cumsum(lengths) - 1  # places of the end marks
+    code = points.copy()
+    for n in (1, 2, 3, 4):
+        if n > 1:
+            code = code[:-1] * np.uint64(1_000_003) + points[n - 1 :]
+            ok = left[: len(code)] >= n
+            add(word[: len(code)][ok], code[ok], n)
+        long = np.flatnonzero(lengths - 2 >= n)
+        add(long, code[ends[long] - lengths[long] + 2], 16 + n)
+        add(long, code[ends[long] - n], 32 + n)
     known = [(n, lexicon[w]) for n, w in enumerate(words) if w in lexicon]
     owners.append(np.array([n for n, _ in known], np.int64))
     buckets.append(np.array([(1 << HASH_BITS) + x for _, x in known], np.int64))
@@ -100,9 +109,7 @@ class Field:
         rng = np.random.default_rng(seed)
         words = {lang: [] for lang in self.langs}
         for lang, text in texts:
-            found = WORD.findall(text.lower())
-            at = int(rng.integers(0, max(1, len(found) - SAMPLE_WORDS + 1)))
-            words[lang].append(found[at : at + SAMPLE_WORDS])
+            words[lang].append(WORD.findall(text.lower()))
         frequent = {w for lang in self.langs for w, _ in Counter(w for ws in words[lang] for w in ws).most_common(LEXICON)}
         self.lexicon = {w: n for n, w in enumerate(sorted(frequent))}
         spans = {lang: self._spans(ws, rng) for lang, ws in words.items()}
@@ -110,12 +117,15 @@ class Field:
         total = sum(len(x) for s in spans.values() for x in s)
         rows, tags = [], []
         names = list(spans)
+        queue = {lang: [] for lang in names}
         for _ in range(max(1, total // SEQUENCE) if names else 0):
             row: list[str] = []
             tag: list[int] = []
             lang = names[int(rng.integers(len(names)))]
             while len(row) < SEQUENCE:
-                part = spans[lang][int(rng.integers(len(spans[lang])))]
+                if not queue[lang]:  # every span once before one comes again
+                    queue[lang] = rng.permutation(len(spans[lang])).tolist()
+                part = spans[lang][queue[lang].pop()]
                 row += part
                 tag += [self.langs.index(lang)] * len(part)
                 if rng.random() < 0.3:
@@ -258,7 +268,8 @@ class Tagger:
 def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
     """Fit on about ``sample_rows`` documents of the learning folds (at most 1.5 times as many), as many of each language.
 
-    Rows with null id, text or language are passed over.
+    They are drawn by a hash of their id. Rows with null id, text or language are passed over; an id that several rows
+    have counts once, with the smallest language and text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (crc_mod("id", FOLDS) != HELD_OUT))
@@ -270,8 +281,10 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_i
     limit = F.lit(0)
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, min(1 << 30, int(each / n * (1 << 30)) + 1)).otherwise(limit)
-    chosen = rows.where((draw < limit) & F.col("id").isNotNull() & F.col("text").isNotNull()).limit(sample_rows * 3 // 2).collect()
-    chosen.sort(key=lambda r: (r["lang"], zlib.crc32(str(r["id"]).encode()), r["id"], r["text"]))
+    drawn = rows.where((draw < limit) & F.col("id").isNotNull() & F.col("text").isNotNull())
+    once = drawn.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r"), F.min(draw / limit).alias("turn"))
+    chosen = once.orderBy("turn", "id").limit(sample_rows * 3 // 2).select("id", "r.lang", "r.text").collect()
+    chosen.sort(key=lambda r: (r["lang"], zlib.crc32(str(r["id"]).encode()), str(r["id"])))
     return Field([(r["lang"], r["text"]) for r in chosen])
 
 

@@ -21,8 +21,8 @@ from tidemark.llm.common import crc_mod, text_slices, training_rows
 
 #: Bound of the labelled fitting sample; dimensions; index vector's non-zeros; window; hidden units.
 SAMPLE_ROWS, DIM, NONZERO, WINDOW, HIDDEN = 3000, 64, 6, 2, 24
-#: Pieces with a vector of their own: the most frequent ones of at least MIN_COUNT in the sample.
-VOCABULARY, MIN_COUNT = 20_000, 5
+#: Pieces with a vector of their own occur so often in the sample.
+MIN_COUNT = 5
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -69,7 +69,7 @@ class Vectors:
             for token, n in Counter(text.split()).items():
                 for p in pieces(token):
                     count[p] += n
-        known = {p for p, n in count.most_common(VOCABULARY) if n >= MIN_COUNT} | {"<upper>"}
+        known = {p for p, n in count.items() if n >= MIN_COUNT} | {"<upper>"}
         names = sorted(known | {SAME, "<signs>", "<digits>"} | {f"<word {n}>" for n in range(1, 13)})
         self.at = {p: n for n, p in enumerate(names)}
         at, sign = index_vectors(names)

@@ -24,7 +24,10 @@ from tidemark.llm.common import crc_mod, text_slices, training_rows
 SAMPLE_ROWS, MIN_DOCS, STEMS = 6000, 3, (4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-PART = re.compile(r"[^\W\d_]+|[.!?\n]+")
+# Signs that end a sentence.
+ENDS = ".!?\n…。！？؟।"
+PART = re.compile(rf"[^\W\d_]+|[{ENDS}]+")
+SENTENCE = re.compile(rf"[^{ENDS}]+[{ENDS}]*")
 MEMO_WORDS = 400_000
 
 
@@ -170,16 +173,20 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
 
 
 def offending(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
-    """doc_id, start, end, sentence, score: the sentences (code point spans) whose own score reaches ``at_least``."""
+    """doc_id, start, end, sentence, score: the sentences (code point spans) whose own score reaches ``at_least``.
+
+    Null and empty texts and an empty table give no rows; so does a constant model, which has no words to find. Repeated
+    rows give their sentences each time, ids are carried as they are, null ones too; other columns are ignored.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         memo = Weights(model.weight)
-        for part, texts in text_slices(batches, 1, 4_000_000):
+        for part, texts in text_slices(batches, 1, 4_000_000) if model.constant is None else ():
             out = []
             for n, text in enumerate(texts):
-                for m in re.finditer(r"[^.!?\n]+[.!?\n]*", text):
+                for m in SENTENCE.finditer(text):
                     s = model.sentence_scores(m[0], memo)
                     if len(s) and s.max() >= at_least:
                         out.append((n, m.start(), m.end(), m[0], float(s.max())))
