@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans.queries import ORACLES, QUERIES
+from tidemark.plans.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -1,11 +1,15 @@
-"""Frames, lists, revisions, durations and names as column expressions."""
+"""Frames, lists, revisions, durations and names. Frames are read batch by batch over Arrow, the rest are expressions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.schema import whole_number
+from tidemark.schema import FORECAST, JOB, LOCATION, whole_number
 
 
 def le_bytes(n: Column, size: int) -> Column:
@@ -15,17 +19,6 @@ def le_bytes(n: Column, size: int) -> Column:
     return F.unhex(F.concat(*parts))
 
 
-def le_number(frame: Column, at: Column, size: int) -> Column:
-    """The little-endian integer of ``size`` bytes at a 0-based place; null if the frame is too short."""
-    digits = F.hex(F.substr(frame, at + 1, F.lit(size)))
-    turned = F.concat(*[F.substring(digits, 2 * (size - i) - 1, 2) for i in range(size)])
-    high = F.conv(F.substring(turned, 1, size), 16, 10).cast("decimal(38,0)")
-    low = F.conv(F.substring(turned, size + 1, size), 16, 10).cast("decimal(38,0)")
-    whole = high * F.lit(16**size).cast("decimal(38,0)") + low
-    signed = F.when(whole >= F.lit(str(1 << (8 * size - 1))).cast("decimal(38,0)"), whole - F.lit(str(1 << (8 * size))).cast("decimal(38,0)")).otherwise(whole)
-    return F.when(F.length(digits) == 2 * size, signed.cast("bigint"))
-
-
 def frame_string(text: Column) -> Column:
     """Length (4 bytes, little-endian) and bytes of a string or binary; null as empty."""
     raw = F.coalesce(text.cast("binary"), F.lit(b""))
@@ -37,40 +30,79 @@ def encode_job(key: Column, node_id: Column, payload: Column, created_at_ns: Col
     return F.concat(frame_string(key), frame_string(node_id), frame_string(payload), le_bytes(created_at_ns, 8), flag)
 
 
-def _take(frame: Column, at: Column) -> tuple[Column, Column]:
-    """A framed string at a place, and the place after it; nulls if the frame ends before."""
-    n = le_number(frame, at, 4)
-    ok = (n >= 0) & (at + 4 + n <= F.length(frame))
-    return F.when(ok, F.substr(frame, at + 5, n.cast("int"))), F.when(ok, (at + 4 + n).cast("int"))
+class Frames:
+    """A batch of byte frames, read side by side: each reading moves the cursor of every frame that is long enough."""
 
+    def __init__(self, frames: pa.Array):
+        whole = frames.cast(pa.large_binary())
+        offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+        self.data = whole.buffers()[2]
+        self.raw = np.frombuffer(self.data, np.uint8) if self.data is not None else np.zeros(0, np.uint8)
+        self.at, self.end = offsets[:-1].copy(), offsets[1:]
+        self.ok = ~np.asarray(whole.is_null())
+
+    def number(self, size: int, kind: str) -> np.ndarray:
+        """A little-endian number; 0 where the frame has ended."""
+        self.ok = self.ok & (self.at + size <= self.end)
+        places = np.where(self.ok, self.at, 0)[:, None] + np.arange(size)
+        cut = self.raw[np.minimum(places, max(len(self.raw) - 1, 0))] if len(self.raw) else np.zeros((len(self.at), size), np.uint8)
+        self.at = np.where(self.ok, self.at + size, self.at)
+        return np.where(self.ok, np.ascontiguousarray(cut).view(f"<{kind}{size}")[:, 0], 0)
+
+    def string(self) -> pa.Array:
+        """A length and so many bytes, as binary; null where the frame has ended."""
+        size = self.number(4, "i").astype(np.int64)
+        self.ok = self.ok & (size >= 0) & (self.at + size <= self.end)
+        size = np.where(self.ok, size, 0)
+        ends = np.cumsum(size)
+        places = np.repeat(self.at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        self.at = self.at + size
+        data = pa.py_buffer(self.raw[places].tobytes())
+        made = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), data])
+        return pc.if_else(pa.array(self.ok), made, None).cast(pa.binary())
+
+
+def _text(raw: pa.Array) -> pa.Array:
+    """Binary as text; bytes that are no UTF-8 become the replacement sign."""
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw.to_pylist()], pa.string())
+
+
+def _struct(ok: np.ndarray, **fields: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(list(fields.values()), names=list(fields), mask=pa.array(~ok))
 
-def decode_job(frame: Column) -> Column:
-    """key, node_id, payload (null if empty), created_at_ns, requeued; null for a truncated frame."""
-    def parts(f: Column) -> Column:
-        key, a = _take(f, F.lit(0))
-        return _let(F.struct(key.alias("key"), a.alias("at")), lambda s: _let(_pair(f, s["at"]), lambda t: _let(_pair(f, t["at"]), lambda u: F.struct(
-            s["key"].cast("string").alias("key"), t["v"].cast("string").alias("node_id"), F.when(F.length(u["v"]) > 0, u["v"]).alias("payload"),
-            le_number(f, u["at"], 8).alias("created_at_ns"), (F.hex(F.substr(f, u["at"] + 9, F.lit(1))) == "01").alias("requeued"),
-            (F.length(f) >= u["at"] + 9).alias("whole"),
-        ))))
 
-    got = parts(frame)
-    names = ("key", "node_id", "payload", "created_at_ns", "requeued")
-    return _let(got, lambda g: F.when(g["whole"], F.struct(*[g[n].alias(n) for n in names])))
+@F.arrow_udf(JOB)
+def _decode_job(frames: pa.Array) -> pa.Array:
+    f = Frames(frames)
+    key, node, payload = _text(f.string()), _text(f.string()), f.string()
+    at, flag = f.number(8, "i"), f.number(1, "u")
+    payload = pc.if_else(pc.equal(pc.binary_length(payload), 0), None, payload)
+    return _struct(f.ok, key=key, node_id=node, payload=payload, created_at_ns=pa.array(at, pa.int64()), requeued=pa.array(flag == 1))
 
 
-def _pair(frame: Column, at: Column) -> Column:
-    v, nxt = _take(frame, at)
-    return F.struct(v.alias("v"), nxt.alias("at"))
+@F.arrow_udf(T.StringType())
+def _decode_key(frames: pa.Array) -> pa.Array:
+    return _text(Frames(frames).string())
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+@F.arrow_udf(T.StructType([T.StructField("first", T.StringType()), T.StructField("second", T.BinaryType())]))
+def _decode_pair(frames: pa.Array) -> pa.Array:
+    f = Frames(frames)
+    first, second = _text(f.string()), f.string()
+    return _struct(f.ok, first=first, second=second)
+
+
+def decode_job(frame: Column) -> Column:
+    """key, node_id, payload (null if empty), created_at_ns, requeued; null for a truncated frame."""
+    return _decode_job(frame)
 
 
 def decode_job_key(frame: Column) -> Column:
-    """The key at the head of a job or notification frame."""
-    return _take(frame, F.lit(0))[0].cast("string")
+    """The key at the head of a job or notification frame; null for a truncated one."""
+    return _decode_key(frame)
 
 
 def encode_pair(first: Column, second: Column) -> Column:
@@ -79,8 +111,8 @@ def encode_pair(first: Column, second: Column) -> Column:
 
 
 def decode_pair(frame: Column, first: str, second: str) -> Column:
-    head, at = _take(frame, F.lit(0))
-    return _let(F.struct(head.alias("a"), at.alias("at")), lambda s: _let(_pair(frame, s["at"]), lambda t: F.when(t["at"].isNotNull(), F.struct(s["a"].cast("string").alias(first), t["v"].alias(second)))))
+    """The two parts, text and bytes; null for a truncated frame."""
+    return _decode_pair(frame).cast(f"struct<{first}:string,{second}:binary>")
 
 
 def parse_list(text: Column) -> Column:
@@ -137,6 +169,35 @@ def pending_key(worker: Column, event_id: Column) -> Column:
     return F.concat(worker, F.lit(":"), event_id)
 
 
+# How the names of streams, maps and locks are made of their owners' names.
+NAMES = {
+    "node_keepalive_map": "{pool}:node-keepalive", "shutdown_map": "{pool}:shutdown", "worker_map": "{pool}:workers",
+    "worker_keepalive_map": "{pool}:worker-keepalive", "cleanup_map": "{pool}:cleanup", "job_map": "{pool}:jobs",
+    "pending_map": "{pool}:pending-jobs", "payload_map": "{pool}:job-payloads", "ticker_map": "{pool}:tickers",
+    "map_content": "map:{map}:content", "map_updates": "map:{map}:updates", "pool_stream": "{pool}:pool",
+    "node_stream": "{pool}:node:{node}", "worker_stream": "worker:{worker}", "consumers_map": "stream:{stream}:sinks",
+    "sink_keepalive_map": "sink:{sink}:keepalive", "sink_lease": "sink:{sink}:stalelease", "ticker": "{pool}:{name}",
+}
+
+
+def name_of(what: str, **parts: Column) -> Column:
+    """The name of one of NAMES from columns for its parts; null if a part is."""
+    out, rest = [], NAMES[what]
+    while rest:
+        before, _, rest = rest.partition("{")
+        out += [F.lit(before)] if before else []
+        if rest:
+            part, _, rest = rest.partition("}")
+            out.append(parts[part])
+    return F.concat(*out)
+
+
+def decode_claim(status: Column, value: Column) -> Column:
+    """(status, value) of an admission result; null unless the status is a whole number and the value is there."""
+    code = whole_number(status)
+    return F.when(code.isNotNull() & value.isNotNull(), F.struct(code.alias("status"), value.alias("value")))
+
+
 def parse_event_id(text: Column) -> Column:
     """(ms, seq) of an event id; null without a dash or where a part is no number."""
     parts = F.split(text, "-")
@@ -144,7 +205,76 @@ def parse_event_id(text: Column) -> Column:
     return F.when(ok, F.struct(parts[0].try_cast("bigint").alias("id_ms"), F.get(parts, F.lit(1)).try_cast("bigint").alias("id_seq")))
 
 
-FORECAST = "struct<location:struct<lat:double,long:double,city:string,state:string>,periods:array<struct<name:string,startTime:string,endTime:string,temperature:int,temperatureUnit:string,summary:string>>>"
+def encode_location(location: Column) -> Column:
+    return F.concat(frame_string(location["state"]), frame_string(location["city"]), _double_bytes(location["lat"]), _double_bytes(location["long"]))
+
+
+@F.arrow_udf(T.BinaryType())
+def _double_bytes(x: pa.Array) -> pa.Array:
+    raw = np.asarray(x.fill_null(0.0)).astype("<f8").tobytes()
+    return pa.Array.from_buffers(pa.binary(8), len(x), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def encode_forecast(forecast: Column) -> Column:
+    """Location frame, number of periods, and each period's frame behind its length."""
+    def period(p: Column) -> Column:
+        return frame_string(F.concat(*[frame_string(p[n]) for n in ("name", "startTime", "endTime")], le_bytes(p["temperature"], 8), frame_string(p["temperatureUnit"]), frame_string(p["summary"])))
+
+    framed = F.coalesce(F.aggregate(forecast["periods"], F.lit(b""), lambda a, p: F.concat(a, period(p))), F.lit(b""))
+    return F.concat(frame_string(encode_location(forecast["location"])), le_bytes(F.greatest(F.coalesce(F.size(forecast["periods"]), F.lit(0)), F.lit(0)), 4), framed)
+
+
+def _location(f: Frames) -> pa.Array:
+    state, city = _text(f.string()), _text(f.string())
+    lat, long = f.number(8, "f"), f.number(8, "f")
+    return _struct(f.ok, lat=pa.array(lat), long=pa.array(long), city=city, state=state)
+
+
+@F.arrow_udf(LOCATION)
+def _decode_location(frames: pa.Array) -> pa.Array:
+    return _location(Frames(frames))
+
+
+@F.arrow_udf(FORECAST)
+def _decode_forecast(frames: pa.Array) -> pa.Array:
+    f = Frames(frames)
+    inner = Frames(f.string())
+    location = _location(inner)
+    n = f.number(4, "u").astype(np.int64)
+    ok = f.ok & inner.ok & (n * 4 <= f.end - f.at)  # a period takes four bytes at least
+    n = np.where(ok, n, 0)
+    f.ok = ok
+    parts, owner, turn = [], [], []
+    for k in range(int(n.max()) if len(n) else 0):
+        f.ok = ok & (n > k)
+        asked = f.ok
+        parts.append(f.string())
+        ok = ok & (f.ok | ~asked)
+        owner.append(np.flatnonzero(asked))
+        turn.append(np.full(int(asked.sum()), k))
+        parts[-1] = parts[-1].take(pa.array(owner[-1]))
+    rows = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+    p = Frames(pa.concat_arrays(parts) if parts else pa.array([], pa.binary()))
+    name, start, end = (_text(p.string()) for _ in range(3))
+    degrees = p.number(8, "i")
+    unit, summary = _text(p.string()), _text(p.string())
+    whole = np.ones(len(n), bool)
+    np.logical_and.at(whole, rows, p.ok)
+    ok = ok & whole
+    order = np.lexsort((np.concatenate(turn), rows)) if turn else rows
+    kept = _struct(p.ok, name=name, startTime=start, endTime=end, temperature=pa.array(degrees, pa.int64()), temperatureUnit=unit, summary=summary).take(pa.array(order))
+    periods = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=len(n)))].astype(np.int32)), kept)
+    return _struct(ok, location=location, periods=periods)
+
+
+def decode_location(frame: Column) -> Column:
+    """lat, long, city, state; null for a truncated frame."""
+    return _decode_location(frame)
+
+
+def decode_forecast(frame: Column) -> Column:
+    """location and periods; null for a frame that is truncated anywhere."""
+    return _decode_forecast(frame)
 
 
 def shape_forecast(api_json: Column) -> Column:

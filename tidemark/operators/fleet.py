@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import whole_number
+from tidemark.schema import PoolOptions, whole_number
 
 
 def within(last_seen: Column, ttl: int, now: int) -> Column:
@@ -20,6 +20,12 @@ def active_workers(workers: DataFrame, keepalive: DataFrame, fresh_locks: DataFr
     return workers.select("id", created.alias("created_at")).where(F.col("created_at").isNotNull()).join(alive, "id", "left_semi").join(fresh_locks.select("id"), "id", "left_anti")
 
 
+def pool_active(workers: DataFrame, keepalive: DataFrame, locks: DataFrame, now_ns: int, options: PoolOptions) -> DataFrame:
+    """Active workers under a pool's options; locks (id, ts) as old as the worker ttl no longer count. Times in ns."""
+    ttl = options.worker_ttl_seconds * 10**9
+    return active_workers(workers, keepalive, locks.where(within(whole_number(F.col("ts")), ttl, now_ns)), ttl, now_ns)
+
+
 def pool_workers(workers: DataFrame) -> DataFrame:
     return workers.select("id", whole_number(F.col("created_at")).alias("created_at")).where(F.col("created_at").isNotNull())
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.schema import SinkOptions, whole_number
+
 ENTRY = ["stream", "sink", "id_ms", "id_seq"]
 
 
@@ -26,16 +28,72 @@ def claim(waiting: DataFrame, claimer: str, now_ms: int, grace_ms: int = 20_000)
 
 
 def lease(requests: DataFrame, length_ms: int = 495) -> DataFrame:
-    """Requests (at_ms, owner) that get the lease: a fixed grid of leases, the first request of each interval."""
-    grid = F.floor(F.col("at_ms") / length_ms)
-    return requests.groupBy(grid.alias("lease")).agg(F.min_by("owner", F.struct("at_ms", "owner")).alias("owner"), F.min("at_ms").alias("at_ms"))
+    """Requests (lease, at_ms, owner) that get the lease: it is free, or was acquired at least its length ago.
+
+    Requests of one instant are taken in order of owner. After a gap of the lease's length the next request wins whatever
+    came before, so requests are folded in order within such sessions, not over the whole history of a lease.
+    """
+    w = W.partitionBy("lease").orderBy("at_ms", "owner")
+    fresh = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) >= length_ms, F.lit(True)).cast("int")
+    numbered = requests.select("lease", "at_ms", "owner").withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ask = f"struct<at_ms:{requests.schema['at_ms'].dataType.simpleString()},owner:{requests.schema['owner'].dataType.simpleString()}>"
+    state = f"struct<until:bigint,won:array<{ask}>>"
+    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast(f"array<{ask}>").alias("won")).cast(state)
+
+    def step(s: Column, r: Column) -> Column:
+        free = s["until"].isNull() | (r["at_ms"] >= s["until"])
+        return F.when(free, F.struct((r["at_ms"] + length_ms).alias("until"), F.concat(s["won"], F.array(r)).alias("won")).cast(state)).otherwise(s)
+
+    asked = numbered.groupBy("lease", "session").agg(F.sort_array(F.collect_list(F.struct("at_ms", "owner"))).alias("asked"))
+    return asked.select("lease", F.explode(F.aggregate("asked", start, step)["won"]).alias("w")).select("lease", "w.at_ms", "w.owner")
 
 
 def stale_consumers(consumers: DataFrame, keepalive: DataFrame, now_ms: int, grace_ms: int = 20_000) -> DataFrame:
-    """Consumers without a heartbeat or with one more than twice the grace period old."""
-    beat = keepalive.groupBy("consumer").agg(F.max("at_ms").alias("seen_ms"))
-    old = F.col("seen_ms").isNull() | (F.lit(now_ms) - F.col("seen_ms") > 2 * grace_ms)
-    return consumers.join(beat, "consumer", "left").where(old)
+    """Consumers without a heartbeat or with one more than twice the grace period old. One that cannot be read keeps its
+    consumer. Heartbeats (consumer, at_ms) are numbers or texts."""
+    at = whole_number(F.col("at_ms").cast("string"))
+    beat = keepalive.groupBy("consumer").agg(F.max(at).alias("seen_ms"), F.bool_or(at.isNull()).alias("unreadable"))
+    old = F.col("unreadable").isNull() | (~F.col("unreadable") & (F.lit(now_ms) - F.col("seen_ms") > 2 * grace_ms))
+    return consumers.join(beat, "consumer", "left").where(old).drop("unreadable")
+
+
+def redeliver(waiting: DataFrame, claimer: str, now_ms: int, options: SinkOptions) -> DataFrame:
+    """Deliveries that a sink's idle check makes: none in no-ack mode, where nothing is pending."""
+    claimed = claim(waiting, claimer, now_ms, options.ack_grace_seconds * 1000)
+    return claimed.limit(0) if options.no_ack else claimed
+
+
+def register(calls: DataFrame) -> DataFrame:
+    """Consumers of the creation calls (stream, sink, consumer, at, start) with their group's start position: that of the
+    group's first creator, whatever later ones ask for. ``created`` marks the call that made the group."""
+    first = calls.groupBy("stream", "sink").agg(F.min(F.struct("at", "consumer", "start")).alias("f"))
+    made = calls.drop("start").join(first, ["stream", "sink"])
+    return made.select("stream", "sink", "consumer", "at", F.col("f.start").alias("start"), (F.col("consumer") == F.col("f.consumer")).alias("created"))
+
+
+def members(registered: DataFrame) -> DataFrame:
+    """(stream, sink, consumers): the membership list of each group, in order of registration."""
+    listed = F.sort_array(F.collect_list(F.struct("at", "consumer")))
+    return registered.groupBy("stream", "sink").agg(listed.alias("m")).select("stream", "sink", F.col("m.consumer").alias("consumers"))
+
+
+def heartbeats(consumers: DataFrame, grace_ms: int = 20_000) -> DataFrame:
+    """(consumer, at_ms): a heartbeat at registration (``since``) and after every grace period up to ``until``."""
+    return consumers.select("consumer", F.explode(F.sequence("since", "until", F.lit(grace_ms).cast("bigint"))).alias("at_ms"))
+
+
+def replaced(beats: DataFrame, now_ms: int, grace_ms: int = 20_000) -> DataFrame:
+    """Consumers that find their own last heartbeat more than twice the grace period old and register anew."""
+    last = beats.groupBy("consumer").agg(F.max("at_ms").alias("seen_ms"))
+    return last.where(F.lit(now_ms) - F.col("seen_ms") > 2 * grace_ms)
+
+
+def add_streams(sink: DataFrame, calls: DataFrame) -> DataFrame:
+    """(sink, stream, start): a sink's streams after calls (sink, stream, at, start); a stream that is part already is not
+    added again, and no start of its own means the sink's."""
+    first = calls.groupBy("sink", "stream").agg(F.min_by("start", "at").alias("own"))
+    more = first.join(sink.select("sink", F.col("start").alias("sinks")), "sink").join(sink.select("sink", "stream"), ["sink", "stream"], "left_anti")
+    return sink.select("sink", "stream", "start").unionByName(more.select("sink", "stream", F.coalesce(F.nullif("own", F.lit("")), "sinks").alias("start")))
 
 
 def assign(log: DataFrame, consumers: int) -> DataFrame:

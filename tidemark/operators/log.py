@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.schema import ReaderOptions, StreamOptions
+
 ID = ("id_ms", "id_seq")
 
 
@@ -59,10 +61,22 @@ def with_topic_pattern(log: DataFrame, pattern: str) -> DataFrame:
 
 
 def read(log: DataFrame, *, start: str = "0", topic: str = "", topic_pattern: str = "", max_polled: int = 0) -> DataFrame:
-    """What one independent reader gets; a missing topic reads as ''. A topic goes before a pattern."""
+    """What one independent reader gets; a missing topic reads as ''. A topic goes before a pattern. A poll takes up to
+    ``max_polled`` entries of each stream, before the filters."""
     rows = from_start(log.withColumn("topic", F.coalesce("topic", F.lit(""))), start)
-    rows = with_topic(rows, topic) if topic else with_topic_pattern(rows, topic_pattern)
-    return rows.orderBy(*ID).limit(max_polled) if max_polled else rows
+    if max_polled:
+        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("stream").orderBy(*ID))).where(F.col("nth") <= max_polled).drop("nth")
+    return with_topic(rows, topic) if topic else with_topic_pattern(rows, topic_pattern)
+
+
+def reader(log: DataFrame, options: ReaderOptions) -> DataFrame:
+    """One poll of a reader with these options."""
+    return read(log, start=options.start, topic=options.topic, topic_pattern=options.topic_pattern, max_polled=options.max_polled)
+
+
+def kept(log: DataFrame, options: StreamOptions, now_ms: int) -> DataFrame:
+    """What appends with these options leave of a log."""
+    return after_append(log, options.max_len, options.ttl_seconds * 1000, now_ms, options.sliding_ttl)
 
 
 def append(candidates: DataFrame, streams: DataFrame | None = None, *, order: str = "seq") -> DataFrame:
@@ -73,6 +87,36 @@ def append(candidates: DataFrame, streams: DataFrame | None = None, *, order: st
     return candidates.withColumn("id_seq", (F.row_number().over(W.partitionBy("stream", "id_ms").orderBy(order)) - 1).cast("long"))
 
 
+def after_append(log: DataFrame, max_len: int, ttl_ms: int, now_ms: int, sliding: bool = False) -> DataFrame:
+    """A log as appends leave it: each stream cut to its newest ``max_len`` entries, expired streams gone (0: never)."""
+    kept = unexpired(log, ttl_ms, now_ms, sliding) if ttl_ms else log
+    return trim_each(kept, max_len)
+
+
+def lookback(log: DataFrame, topic: str, now_ms: int, span_ms: int = 3_600_000) -> DataFrame:
+    """A subscriber's entries of one topic from a span before now on."""
+    return with_topic(since(log, now_ms - span_ms), topic)
+
+
+def subscribed(log: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Entries with each subscriber that gets them: (subscriber, stream, from_ms, until_ms), until null while it lasts."""
+    s = subscriptions.withColumnRenamed("stream", "of")
+    during = (F.col("stream") == F.col("of")) & (F.col("id_ms") >= F.col("from_ms")) & (F.col("until_ms").isNull() | (F.col("id_ms") < F.col("until_ms")))
+    return log.join(s, during).drop("of", "from_ms", "until_ms")
+
+
+def without_stream(log: DataFrame, stream: str) -> DataFrame:
+    """The log after a stream was destroyed; its membership map gets a tombstone (``mapstore.tombstones``)."""
+    return log.where(F.col("stream") != stream)
+
+
+def read_error_action(message: Column) -> Column:
+    """What a reader does about an error: ``fatal`` ends it, ``ignore`` polls on (no event yet, or the group is gone),
+    ``retry`` polls again after a pause; null where there is no error."""
+    quiet = message.isin("redis: nil") | F.contains(message, F.lit("NOGROUP"))
+    return F.when(message.isNull(), None).when(F.contains(message, F.lit("stream key no longer exists")), "fatal").when(quiet, "ignore").otherwise("retry")
+
+
 def remove(log: DataFrame, ids: DataFrame) -> DataFrame:
     """The log without the listed (stream, id_ms, id_seq)."""
     return log.join(ids, ["stream", *ID], "left_anti")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.codecs import parse_list
+
 RESETS = ("reset", "destroy")
 
 
@@ -170,11 +174,6 @@ def remove_results(log: DataFrame) -> DataFrame:
     return folded.select("key", F.explode("state.out").alias("r")).select("key", "r.*")
 
 
-def destroyed(name: str, rev: int, spark) -> DataFrame:
-    """The tombstone row of a destroyed map: revisions go on, so the name can be used again."""
-    return spark.createDataFrame([(name, rev, "destroy", None, None)], "map string, rev long, op string, key string, value string")
-
-
 def without_metadata(content: DataFrame) -> DataFrame:
     """Stored fields without the reserved ones, whose names begin with '='."""
     return content.where(~F.startswith("key", F.lit("=")))
@@ -200,31 +199,73 @@ def cas_chain(ops: DataFrame) -> DataFrame:
     return _fold(ops, ["key"], ["op", "value", "test"], start, step).select("key", "state.value", F.col("state.n").alias("n_updated"))
 
 
-def test_and_reset(changes, spark_schema: str = "map string, rev long, reset boolean"):
-    """Whether each test_and_reset of small maps takes effect: all tested keys hold their values (none tested: yes).
+def test_and_reset(changes: DataFrame) -> DataFrame:
+    """(map, rev, reset): whether each test_and_reset takes effect: all tested keys hold their values (none tested: yes).
 
-    The condition reads several keys, so a map is folded whole: for maps that fit in memory. Columns: map, rev, op,
-    key, value, tests (map of key to value).
+    The condition reads several keys, so a map is folded whole, its content one value of the fold: for maps that fit in
+    memory. Columns: map, rev, op, key, value, tests (map of key to value).
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        content, out = {}, []
-        for r in pdf.sort_values("rev").itertuples():
-            if r.op == "set":
-                content[r.key] = r.value
-            elif r.op == "del":
-                content.pop(r.key, None)
-            elif r.op in RESETS:
-                content = {}
-            elif r.op == "test_and_reset":
-                tests = dict(r.tests) if r.tests is not None else {}
-                hit = all(k in content and content[k] == v for k, v in tests.items())
-                content = {} if hit else content
-                out.append((r.map, r.rev, hit))
-        return pd.DataFrame(out, columns=["map", "rev", "reset"])
-
-    return changes.groupBy("map").applyInPandas(fold, spark_schema)
+    state = "struct<content:map<string,string>,out:array<struct<rev:bigint,reset:boolean>>>"
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    start = F.struct(nothing.alias("content"), F.array().cast("array<struct<rev:bigint,reset:boolean>>").alias("out")).cast(state)
+
+    def step(s: Column, o: Column) -> Column:
+        c, op = s["content"], o["op"]
+        holds = lambda e: F.coalesce(F.try_element_at(c, e["key"]) == e["value"], F.lit(False))
+        hit = F.coalesce(F.forall(F.map_entries(o["tests"]), holds), F.lit(True))
+        rest = F.map_filter(c, lambda k, _: k != o["key"])
+        content = (
+            F.when(op == "set", F.map_concat(rest, F.map_from_arrays(F.array(o["key"]), F.array(o["value"])))).when(op == "del", rest)
+            .when(op.isin(*RESETS) | ((op == "test_and_reset") & hit), nothing).otherwise(c)
+        )
+        told = F.concat(s["out"], F.array(F.struct(o["rev"].alias("rev"), hit.alias("reset"))))
+        return F.struct(content.alias("content"), F.when(op == "test_and_reset", told).otherwise(s["out"]).alias("out")).cast(state)
+
+    # maps cannot be sorted by, so rows are ordered by revision and place
+    listed = F.collect_list(F.struct("rev", "op", "key", "value", "tests"))
+    ordered = F.array_sort(listed, lambda x, y: F.when(x["rev"] < y["rev"], -1).when(x["rev"] > y["rev"], 1).otherwise(0))
+    folded = changes.groupBy("map").agg(ordered.alias("ops")).select("map", F.aggregate("ops", start, step)["out"].alias("out"))
+    return folded.select("map", F.explode("out").alias("r")).select("map", "r.rev", "r.reset")
+
+
+def list_values(live: DataFrame) -> DataFrame:
+    """A snapshot's (map, key, items): values read as lists."""
+    return live.select("map", "key", parse_list(F.col("value")).alias("items"))
+
+
+def after_close(ops: DataFrame, closed: DataFrame) -> DataFrame:
+    """Operations (map, at, op, ...) with ``accepted``: once a map is closed (map, closed_at) only reset and destroy are."""
+    late = F.col("closed_at").isNotNull() & (F.col("at") >= F.col("closed_at"))
+    return ops.join(closed, "map", "left").withColumn("accepted", ~late | F.col("op").isin(*RESETS)).drop("closed_at")
+
+
+def tombstones(changes: DataFrame, names: DataFrame) -> DataFrame:
+    """Changelog rows that destroy maps (column ``map``), at the revision after each map's last: revisions go on, so a name
+    can be used again."""
+    last = names.select("map").distinct().join(changes.groupBy("map").agg(F.max("rev").alias("last")), "map", "left")
+    none = F.lit(None).cast("string")
+    return last.select("map", (F.coalesce("last", F.lit(0)) + 1).alias("rev"), F.lit("destroy").alias("op"), none.alias("key"), none.alias("value"))
+
+
+def cache(log: DataFrame) -> DataFrame:
+    """(key, value) of a map kept up to date from a stream: the newest payload of each topic."""
+    return log.groupBy(F.col("topic").alias("key")).agg(F.max_by("payload", F.struct("id_ms", "id_seq")).alias("value"))
+
+
+def cache_aside(requests: DataFrame, cached: DataFrame) -> DataFrame:
+    """(key, value, hit) of requested keys; a miss is to be asked for once, however many requests it has."""
+    found = requests.select("key").distinct().join(cached.select("key", "value", F.lit(True).alias("hit")), "key", "left")
+    return found.select("key", "value", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def wait_for(read, deadline_s: float, pause_s: float = 0.05, clock=time.monotonic, sleep=time.sleep):
+    """The first value that ``read()`` returns that is not None; a TimeoutError after the deadline."""
+    end = clock() + deadline_s
+    while (value := read()) is None:
+        if clock() >= end:
+            raise TimeoutError(f"no value after {deadline_s} s")
+        sleep(pause_s)
+    return value
 
 
 def kinds(changes: DataFrame) -> DataFrame:

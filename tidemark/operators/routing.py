@@ -45,13 +45,19 @@ def rebalance(jobs: DataFrame, before: int, after: int) -> DataFrame:
     return moved.where(F.col("old_bucket") != F.col("new_bucket"))
 
 
+def not_before(digits: Column, now: Column) -> Column:
+    """Whether a deadline of digits, of any length, has not passed: the longer text is later, of equal ones the larger."""
+    longer, even = F.length(digits) > F.length(now), F.length(digits) == F.length(now)
+    return longer | (even & (digits >= now))
+
+
 def admit(requests: DataFrame, payloads: DataFrame, pending: DataFrame, now: int) -> DataFrame:
     """(key, arrival, status) of dispatch requests: running, malformed, pending, or claimed; one request of a key wins."""
     rows = requests.join(payloads.select("key", F.lit(True).alias("runs")), "key", "left").join(pending.select("key", "until"), "key", "left")
     digits = F.col("until").rlike("^[0-9]+$")
     base = (
         F.when(F.col("runs"), RUNNING).when(F.col("until").isNotNull() & ~digits, MALFORMED)
-        .when(F.when(digits, F.col("until").try_cast("decimal(38,0)")) >= now, PENDING).otherwise(CLAIMED)
+        .when(digits & not_before(F.col("until"), F.lit(str(now))), PENDING).otherwise(CLAIMED)
     )
     nth = F.row_number().over(W.partitionBy("key").orderBy("arrival"))
     rows = rows.withColumn("base", base).withColumn("nth", nth)

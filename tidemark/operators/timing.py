@@ -31,6 +31,48 @@ def apply_plan(scheduled: DataFrame, start: DataFrame, stop: DataFrame, stop_all
     return scheduled.select("key").union(start.select("key")).distinct().join(stops, "key", "left_anti")
 
 
+def after_calls(tickers: DataFrame, calls: DataFrame) -> DataFrame:
+    """Shared tickers after calls (name, kind): ``stop`` deletes the record, ``close`` is local and leaves it."""
+    return tickers.join(calls.where("kind = 'stop'").select("name").distinct(), "name", "left_anti")
+
+
+def rearm(local: DataFrame, shared: DataFrame, now: int) -> DataFrame:
+    """(name, action, delay) of local tickers (name, next_at) that see the shared ones: a deleted record stops, the same
+    one changes nothing, another re-arms the timer; a time in the past fires at once."""
+    seen = local.select("name", "next_at").join(shared.select("name", F.col("next_at").alias("new_at")), "name", "left")
+    action = F.when(F.col("new_at").isNull(), "stop").when(F.col("new_at") == F.col("next_at"), "keep").otherwise("rearm")
+    return seen.select("name", action.alias("action"), F.when(action == "rearm", F.greatest(F.col("new_at") - F.lit(now), F.lit(0))).cast("bigint").alias("delay"))
+
+
+def retry_delay(every_us: Column) -> Column:
+    """How soon a ticker that could not advance tries again: after its period, a second at most. No tick is emitted."""
+    return F.least(every_us, F.lit(1_000_000))
+
+
+def advance(tickers: DataFrame, attempts: DataFrame, now: int) -> DataFrame:
+    """(name, node, next_at) of the one node whose compare-and-set of each due ticker wins: the first to try (node, at)."""
+    due = tickers.where(F.col("next_at") <= now)
+    first = attempts.groupBy("name").agg(F.min(F.struct("at", "node")).alias("f"))
+    return due.join(first, "name").select("name", F.col("f.node").alias("node"), next_tick(F.col("next_at"), F.col("every"), F.lit(now)).alias("next_at"))
+
+
+def schedule_runs(callers: DataFrame, ticks: DataFrame) -> DataFrame:
+    """(producer, node, at) of the plans that are made: at once by every caller (producer, node, at), then at each tick
+    (producer, at) by one node, the first of those that have scheduled the producer by then."""
+    asked = callers.select("producer", "node", F.col("at").alias("since"))
+    on_tick = ticks.join(asked, "producer").where(F.col("since") < F.col("at")).groupBy("producer", "at").agg(F.min_by("node", F.struct("since", "node")).alias("node"))
+    return callers.select("producer", "node", "at").unionByName(on_tick.select("producer", "node", "at"))
+
+
+def plan_changes(plans: DataFrame) -> DataFrame:
+    """Changes (map, rev, op, key) to the job map of each plan (producer, rev, start, stop, stop_error): started keys are
+    set, then stopped ones deleted; a producer that ends its schedule resets the map, which stops it on every node."""
+    going = plans.where(~F.col("stop_error"))
+    rows = [going.select("producer", "rev", F.lit(op).alias("op"), F.explode(side).alias("key")) for op, side in (("set", "start"), ("del", "stop"))]
+    ended = plans.where("stop_error").select("producer", "rev", F.lit("reset").alias("op"), F.lit(None).cast("string").alias("key"))
+    return rows[0].unionByName(rows[1]).unionByName(ended).withColumnRenamed("producer", "map")
+
+
 def tick_buckets(log: DataFrame, anchor_ms: int, every_ms: int) -> DataFrame:
     """Events per tick of a grid anchored at its first tick."""
     slot = F.floor((F.col("id_ms") - anchor_ms) / every_ms)

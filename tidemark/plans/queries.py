@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, hashing
 from tidemark.operators import fleet, groups, log, mapstore, routing, timing
+from tidemark.plans.registry import query
 from tidemark.sources import adapters as src
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 # Fixed instants and bounds of the tests.
 START_MS = 1_705_000_000_000
 STALE_NOW = 1_706_000_000_000
@@ -54,17 +49,6 @@ def bucket_sql(n: int | str) -> str:
   {{'h': crc::HUGEINT, 'b': -1::BIGINT, 'j': 0::BIGINT}}).b"""
 
 
-def query(sql: str | None = None):
-    def register(f):
-        name = f"q_{f.__name__}"
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
 SHOWN = ["stream", "id_ms", "id_seq", "event_name", "topic", "payload"]
 
 
@@ -83,14 +67,19 @@ def reader_start_at(spark, d):
     return log.since(src.stream_events(spark, d), START_MS).select(*SHOWN)
 
 
-@query(f"WITH {EV} SELECT count(*)::BIGINT AS n FROM ev WHERE (id_ms, id_seq) > (SELECT (max(id_ms), 0) FROM ev)")
+@query(f"WITH {EV}, n AS (SELECT max((id_ms, id_seq)) AS m FROM ev WHERE event_name <> 'error' AND id_ms < {STALE_NOW}) SELECT ev.* FROM ev, n WHERE (id_ms, id_seq) > m")
 def reader_newest(spark, d):
-    return log.read(src.stream_events(spark, d), start="$").agg(F.count("*").alias("n"))
+    """A reader that starts at the newest entry of what was there then gets what came later."""
+    ev = src.stream_events(spark, d)
+    at = log.newest_id(ev.where(f"event_name <> 'error' AND id_ms < {STALE_NOW}"))
+    return log.after(ev, *at).select(*SHOWN)
 
 
-@query(f"WITH {EV} SELECT * FROM ev ORDER BY id_ms, id_seq LIMIT 1000")
+@query(f"""WITH {EV}, b AS (SELECT stream, id_ms, id_seq FROM ev UNION ALL SELECT 'conversations', conv_id, turn FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY id_ms, id_seq) AS nth FROM b) SELECT stream, id_ms, id_seq FROM r WHERE nth <= 300""")
 def reader_poll(spark, d):
-    return log.read(src.stream_events(spark, d), max_polled=1000).select(*SHOWN)
+    both = log.union(src.stream_events(spark, d), src.conversation_events(spark, d))
+    return log.read(both, max_polled=300).select("stream", "id_ms", "id_seq")
 
 
 @query(f"WITH {EV} SELECT * FROM ev WHERE topic = 'purchase/3'")
@@ -145,10 +134,12 @@ def stream_ttl(spark, d):
     return log.unexpired(both, 40 * DAY, STALE_NOW, sliding=True).groupBy("stream").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'events' AS stream, (epoch_us(ts) // 1000) // 60000 AS id_ms, (row_number() OVER (PARTITION BY (epoch_us(ts) // 1000) // 60000 ORDER BY event_id) - 1)::BIGINT AS id_seq FROM events""")
+@query("""WITH r AS (SELECT event_type AS stream, (epoch_us(ts) // 1000) // 60000 AS id_ms, event_id FROM events WHERE event_type IN ('click', 'view'))
+SELECT stream, id_ms, (row_number() OVER (PARTITION BY stream, id_ms ORDER BY event_id) - 1)::BIGINT AS id_seq FROM r""")
 def stream_append(spark, d):
-    rows = src.read(spark, d, "events").select(F.lit("events").alias("stream"), F.floor(src.millis(F.col("ts")) / 60000).alias("id_ms"), "event_id")
-    known = rows.select("stream").limit(1)
+    """Appends to several streams of which two exist."""
+    rows = src.read(spark, d, "events").select(F.col("event_type").alias("stream"), F.floor(src.millis(F.col("ts")) / 60000).alias("id_ms"), "event_id")
+    known = spark.createDataFrame([("click",), ("view",), ("unused",)], "stream string")
     return log.append(rows, known, order="event_id").select("stream", "id_ms", "id_seq")
 
 
@@ -287,10 +278,13 @@ def group_idle_claim(spark, d):
     return groups.idle(groups.pending(*_deliveries(spark, d)), STALE_NOW, DAY).select("id_ms", "id_seq", "consumer", "delivered_ms")
 
 
-@query(f"WITH k AS (SELECT user_id AS consumer, max((epoch_us(ts) // 1000))::BIGINT AS seen_ms FROM events GROUP BY 1), c AS (SELECT s_suppkey AS consumer FROM supplier) SELECT consumer, seen_ms FROM c LEFT JOIN k USING (consumer) WHERE seen_ms IS NULL OR (SELECT max(seen_ms) FROM k) - seen_ms > {2 * TTL_MS}")
+@query(f"WITH k AS (SELECT user_id AS consumer, max((epoch_us(ts) // 1000))::BIGINT AS seen_ms FROM events GROUP BY 1), c AS (SELECT s_suppkey AS consumer FROM supplier) SELECT consumer, seen_ms FROM c LEFT JOIN k USING (consumer) WHERE seen_ms IS NULL OR (consumer % 5 <> 0 AND (SELECT max(seen_ms) FROM k) - seen_ms > {2 * TTL_MS})")
 def group_stale_consumers(spark, d):
+    """A consumer whose heartbeat cannot be read is kept."""
     consumers = src.read(spark, d, "supplier").select(F.col("s_suppkey").alias("consumer"))
-    beats = src.read(spark, d, "events").select(F.col("user_id").alias("consumer"), src.millis(F.col("ts")).alias("at_ms"))
+    e = src.read(spark, d, "events")
+    beats = e.select(F.col("user_id").alias("consumer"), src.millis(F.col("ts")).cast("string").alias("at_ms"))
+    beats = beats.unionByName(e.where("user_id % 5 = 0").select(F.col("user_id").alias("consumer"), F.lit("soon").alias("at_ms")).distinct())
     return groups.stale_consumers(consumers, beats, src.latest_millis(spark, d), TTL_MS).select("consumer", "seen_ms")
 
 
@@ -304,10 +298,16 @@ def group_fan_out(spark, d):
     return groups.fan_out(src.stream_events(spark, d), ["a", "b"]).groupBy("sink", "event_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT (epoch_us(ts) // 1000) // 495 AS lease, arg_min(user_id, ((epoch_us(ts) // 1000), user_id)) AS owner, min((epoch_us(ts) // 1000))::BIGINT AS at_ms FROM events GROUP BY 1")
+@query("""WITH r AS (SELECT 'sink' || (user_id % 3)::VARCHAR AS lease, (epoch_us(ts) // 1000)::BIGINT AS at_ms, user_id AS owner FROM events),
+o AS (SELECT lease, list({'at_ms': at_ms, 'owner': owner, 'out': []::STRUCT(at_ms BIGINT, owner BIGINT)[]} ORDER BY at_ms, owner) AS asks FROM r GROUP BY 1),
+f AS (SELECT lease, list_reduce(asks, lambda s, x: CASE WHEN x.at_ms - s.at_ms >= 1800000
+  THEN {'at_ms': x.at_ms, 'owner': x.owner, 'out': list_append(s.out, {'at_ms': x.at_ms, 'owner': x.owner})} ELSE s END,
+  {'at_ms': -10000000000::BIGINT, 'owner': 0::BIGINT, 'out': []::STRUCT(at_ms BIGINT, owner BIGINT)[]}).out AS out FROM o),
+u AS (SELECT lease, unnest(out) AS w FROM f) SELECT lease, w.at_ms AS at_ms, w.owner AS owner FROM u""")
 def group_lease(spark, d):
-    asks = src.read(spark, d, "events").select(F.col("user_id").alias("owner"), src.millis(F.col("ts")).alias("at_ms"))
-    return groups.lease(asks).select(F.col("lease").cast("long").alias("lease"), "owner", "at_ms")
+    """Three leases of half an hour, asked for so often that most requests find them held."""
+    asks = src.read(spark, d, "events").select(F.concat(F.lit("sink"), (F.col("user_id") % 3).cast("string")).alias("lease"), F.col("user_id").cast("long").alias("owner"), src.millis(F.col("ts")).alias("at_ms"))
+    return groups.lease(asks, 1_800_000)
 
 
 @query("SELECT 'events' AS stream, n_name AS sink FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")
@@ -396,7 +396,8 @@ def pool_status(spark, d):
 @query(f"WITH {ROUTED} SELECT key, crc::VARCHAR AS crc, {bucket_sql(NODES)} AS bucket FROM c")
 def route_jobs(spark, d):
     keys = src.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
-    return routing.route(keys, NODES).select("key", hashing.crc64(F.col("key")).cast("string").alias("crc"), "bucket")
+    hashed = keys.select("key", hashing.crc64(F.col("key")).alias("crc"))
+    return hashed.select("key", hashing.unsigned(F.col("crc")).cast("string").alias("crc"), hashing.jump_bucket(F.col("crc"), F.lit(NODES)).alias("bucket"))
 
 
 @query(f"""WITH {ROUTED}, {ACTIVE}, r AS (SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS bucket FROM active),
@@ -458,17 +459,17 @@ def location_key(spark, d):
     return c.select("c_custkey", codecs.location_key(F.replace("c_name", F.lit("#"), F.lit(" ")), F.col("c_mktsegment")).alias("location"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 3 END AS n, event_type AS first FROM events")
+@query("SELECT event_id, to_json(CASE WHEN event_id % 2 = 0 THEN [event_type, 'x,y', '\"' || user_id::VARCHAR] ELSE [event_type, '', 'z ' || user_id::VARCHAR] END)::VARCHAR AS items FROM events")
 def list_parse(spark, d):
     e = src.read(spark, d, "events")
-    text = F.when(F.col("event_id") % 2 == 0, F.to_json(F.array("event_type", F.lit("x,y")))).otherwise(F.concat("event_type", F.lit(",,z")))
-    items = e.select("event_id", codecs.parse_list(text).alias("items"))
-    return items.select("event_id", F.size("items").alias("n"), F.col("items")[0].alias("first"))
+    user = F.col("user_id").cast("string")
+    text = F.when(F.col("event_id") % 2 == 0, codecs.encode_list(F.array("event_type", F.lit("x,y"), F.concat(F.lit('"'), user)))).otherwise(F.concat("event_type", F.lit(",,z "), user))
+    return e.select("event_id", codecs.encode_list(codecs.parse_list(text)).alias("items"))
 
 
-@query("SELECT DISTINCT arg_max(event_id, event_id) OVER (PARTITION BY user_id) AS event_id, user_id FROM events")
+@query(f"WITH {EV} SELECT topic AS key, arg_max(payload, (id_ms, id_seq)) AS value FROM ev GROUP BY 1")
 def cache_refresh(spark, d):
-    return src.read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", "event_id").alias("event_id")).select("event_id", "user_id")
+    return mapstore.cache(src.stream_events(spark, d))
 
 
 def _cas_ops(spark, d):
@@ -492,7 +493,13 @@ def map_cas_results(spark, d):
     return mapstore.op_results(_cas_ops(spark, d))
 
 
-@query()
+@query(f"""WITH o AS (SELECT key, list({{'rev': event_id + 1, 'o': o, 'items': items, 'out': []::STRUCT(rev BIGINT, removed BOOLEAN)[]}} ORDER BY event_id) AS ops FROM ({ITEMS}) GROUP BY key),
+f AS (SELECT key, list_reduce(ops, lambda s, x: {{'rev': x.rev, 'o': x.o, 'items': CASE WHEN x.o = 0 THEN s.items || x.items
+  WHEN x.o = 1 THEN s.items || list_filter(x.items, lambda e: NOT list_contains(s.items, e))
+  ELSE list_filter(s.items, lambda e: NOT list_contains(x.items, e)) END,
+  'out': CASE WHEN x.o = 2 THEN list_append(s.out, {{'rev': x.rev, 'removed': list_has_any(s.items, x.items)}}) ELSE s.out END}},
+  {{'rev': 0::BIGINT, 'o': 0::BIGINT, 'items': []::VARCHAR[], 'out': []::STRUCT(rev BIGINT, removed BOOLEAN)[]}}).out AS out FROM o),
+u AS (SELECT key, unnest(out) AS r FROM f) SELECT key, r.rev AS rev, r.removed AS removed FROM u""")
 def map_remove_results(spark, d):
     return mapstore.remove_results(src.list_log(spark, d))
 
@@ -527,10 +534,27 @@ def ticker_adopt(spark, d):
     return timing.adopt(old, s.withColumn("every", F.lit(10).cast("long")), 1000).select("name", "next_at")
 
 
-@query("""WITH g AS (SELECT *, event_id % 7 = 3 AS r FROM events), m AS (SELECT user_id % 3 AS map, max(CASE WHEN r THEN event_id END) AS b FROM g GROUP BY 1),
-l AS (SELECT user_id % 3 AS map, user_id AS key, max(event_id) AS rev FROM g WHERE NOT r GROUP BY ALL)
-SELECT l.map::VARCHAR AS map, key::VARCHAR AS key FROM l JOIN m USING (map) WHERE rev > b""")
-def map_expire(spark, d):
+EXPIRE = """WITH g AS (SELECT *, event_id % 97 = 3 AS r, user_id % 20 AS map, event_id AS a FROM events), t AS (SELECT max(a) AS last FROM g),
+m AS (SELECT map, coalesce(max(CASE WHEN r THEN event_id END), 0) AS b FROM g GROUP BY 1),
+x AS (SELECT map, {} + 250 AS until FROM g JOIN m USING (map) WHERE NOT r AND event_id > b GROUP BY 1),
+l AS (SELECT map, user_id AS key, max(event_id) AS rev FROM g WHERE NOT r GROUP BY ALL)
+SELECT l.map::VARCHAR AS map, key::VARCHAR AS key FROM l JOIN m USING (map) JOIN x USING (map), t WHERE rev > b AND until > last"""
+
+
+def _expiring(spark, d):
     e = src.read(spark, d, "events")
-    rows = e.select((F.col("user_id") % 3).cast("string").alias("map"), F.col("event_id").alias("rev"), F.when(F.col("event_id") % 7 == 3, "reset").otherwise("set").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("at"))
-    return mapstore.expire(rows, 10**9, 0).select("map", "key")
+    rows = e.select((F.col("user_id") % 20).cast("string").alias("map"), F.col("event_id").alias("rev"), F.when(F.col("event_id") % 97 == 3, "reset").otherwise("set").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("at"))
+    return rows, e.agg(F.max("event_id")).first()[0]
+
+
+@query(EXPIRE.format("max(a)"))
+def map_expire_sliding(spark, d):
+    rows, now = _expiring(spark, d)
+    return mapstore.expire(rows, 250, now, sliding=True).select("map", "key")
+
+
+@query(EXPIRE.format("min(a)"))
+def map_expire(spark, d):
+    """Each map's content expires 250 steps after its first write since its last reset: some have, some have not."""
+    rows, now = _expiring(spark, d)
+    return mapstore.expire(rows, 250, now).select("map", "key")

@@ -26,6 +26,12 @@ JOB = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("node_id", T.StringType()), T.StructField("payload", T.BinaryType()),
     T.StructField("created_at_ns", T.LongType()), T.StructField("requeued", T.BooleanType()),
 ])
+LOCATION = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("long", T.DoubleType()), T.StructField("city", T.StringType()), T.StructField("state", T.StringType())])
+PERIOD = T.StructType([
+    T.StructField("name", T.StringType()), T.StructField("startTime", T.StringType()), T.StructField("endTime", T.StringType()),
+    T.StructField("temperature", T.LongType()), T.StructField("temperatureUnit", T.StringType()), T.StructField("summary", T.StringType()),
+])
+FORECAST = T.StructType([T.StructField("location", LOCATION), T.StructField("periods", T.ArrayType(PERIOD))])
 TICKER = T.StructType([T.StructField("next_us", T.LongType()), T.StructField("every_us", T.LongType())])
 JOB_PLAN = T.StructType([
     T.StructField("start", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("payload", T.BinaryType())]))),
@@ -45,6 +51,10 @@ class StreamOptions:
     ttl_seconds: int = 0
     sliding_ttl: bool = False
 
+    def __post_init__(self):
+        if self.ttl_seconds < 0:
+            raise ValueError("ttl_seconds must not be negative")
+
 
 @dataclass(frozen=True)
 class ReaderOptions:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,10 +12,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.operators import log, mapstore
+from tidemark.schema import check_name
+
+
+LOGGER = logging.getLogger("tidemark")
 
 
 def open_log(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    """A log folder as a stream; a poll takes at most ``max_files`` new files."""
+    """A log folder as a stream; a poll takes at most ``max_files`` new files. The folder's name must be a valid name."""
+    check_name(path.rstrip("/").rpartition("/")[2])
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
@@ -106,6 +112,48 @@ def map_signals(changes: DataFrame, checkpoint: str, signal: Callable[[int, int]
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stop_all(queries: list[StreamingQuery]) -> None:
+    """Ends subscriptions. Their checkpoints stay, so that the same subscription goes on from there."""
+    for q in queries:
+        if q.isActive:
+            q.stop()
+
+
+def deliver_to(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame], DataFrame], ack: Callable[[DataFrame, int], None], logger: logging.Logger = LOGGER) -> StreamingQuery:
+    """Hands each batch to a handler that returns the handled rows, and those to ``ack``, any function that records them.
+
+    What the handler leaves out stays pending. An error of the handler is logged and fails the batch, which is delivered
+    again on restart.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        try:
+            ack(handle(batch), batch_id)
+        except Exception:
+            logger.exception("batch %d failed", batch_id)
+            raise
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_notifications(events: DataFrame, handler: Callable[[str, bytes], None] | None = None) -> DataFrame:
+    """Outcome (key, outcome) of passing notifications (key, payload) to an optional handler, on the executors: ``handled``,
+    ``error: `` and its text, or ``ignored`` where there is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, payload in zip(b["key"], b["payload"], strict=True):
+                try:
+                    if handler is not None:
+                        handler(key, payload)
+                    out.append((key, "ignored" if handler is None else "handled"))
+                except Exception as e:  # noqa: BLE001 - the error text goes back with the acknowledgement
+                    out.append((key, f"error: {e}"))
+            yield pd.DataFrame(out, columns=["key", "outcome"])
+
+    return events.select("key", "payload").mapInPandas(run, "key string, outcome string")
+
+
 def run_jobs(events: DataFrame, start: Callable[[str, bytes], None], stop: Callable[[str], None] | None = None) -> DataFrame:
     """Outcome (key, ok, error) of calling a handler for each start or stop event (kind, key, payload), on the executors."""
 
