@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 from tidemark.llm.queries import op9_simhash
@@ -43,6 +44,28 @@ def test_documents_against_brute_force(spark, sf_dir):
     assert got == {i: (f"{fps[i]:016x}", comps[i]) for i in texts}
 
 
+def test_pivot_cells_decide_which_fingerprints_meet(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        x, y = rng.getrandbits(64), 0
+        for b in rng.sample(range(64), rng.randrange(0, 5)):
+            y |= 1 << b
+        rows.append((x, x ^ y))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = spark.createDataFrame([(n, signed(x), signed(y)) for n, (x, y) in enumerate(rows)], "n int, x long, y long")
+    points = pairs.select(F.explode(F.array("x", "y")).alias("fp")).distinct()
+    table = simhash.pivot_table(points).select("fp", "d", simhash.cells(F.col("d"), 2, False).alias("own"), simhash.cells(F.col("d"), 2, True).alias("wide"))
+    own = {r["fp"]: (list(r["d"]), list(r["own"]), set(r["wide"])) for r in table.collect()}
+    for x, y in rows:
+        (dx, ox, _), (_, _, wy) = own[signed(x)], own[signed(y)]
+        assert dx == [bin(x ^ p % 2**64).count("1") for p in simhash.PIVOTS] and len(ox) == 1
+        if bin(x ^ y).count("1") <= 2:
+            assert ox[0] in wy
+    far = [(a, b) for a in list(own.values())[:200] for b in list(own.values())[-200:] if abs(a[0][0] - b[0][0]) > simhash.CELL + 2]
+    assert far and not any(a[1][0] in b[2] for a, b in far)  # what the first pivot tells apart does not meet
+
+
 def test_chains_of_links(spark):
     rng = random.Random(1)
     fps = {}

@@ -2,11 +2,11 @@
 
 Fingerprints: 64-bit majority of the XXH64 hashes of word shingles. Distinct fingerprints carry a table of their
 Hamming distances to fixed reference fingerprints (pivots). By the triangle inequality two fingerprints within ``k``
-bits differ by at most ``k`` in every pivot distance, so a pair whose largest coordinate difference is above ``k`` is
-discarded; survivors are verified by their exact distance. Which pairs meet at all is bounded by block keys: of
-``k + 2`` blocks of the bits two fingerprints within ``k`` bits share at least two whole blocks, so each pair of blocks
-is a join key (complete, and no pair within a group is made that the pivots or the distance reject). A link is made
-under the first key that its fingerprints share.
+bits differ by at most ``k`` in every pivot distance. That decides which meet: a fingerprint is posted in the cell of its
+first pivot distances and sought in that and the neighbouring cells that lie within ``k``; inside a cell, of ``k + 2``
+blocks of the bits two fingerprints within ``k`` share at least two whole blocks, so each pair of blocks is a join key.
+A pair that meets is discarded if its largest coordinate difference over all pivots is above ``k``; survivors are
+verified by their exact distance. A link is made under the first key that its fingerprints share.
 
 Components come from alternating minimum-label star contractions over distinct fingerprints, checkpointed.
 """
@@ -26,6 +26,8 @@ from tidemark.llm.common import checkpoint, text_slices
 BITS = 64
 #: Reference fingerprints of the distance table: the first words of a fixed XXH64 sequence.
 PIVOTS = tuple(int(np.array([xxhash.xxh64_intdigest(f"pivot {i}", 0)], np.uint64).view(np.int64)[0]) for i in range(12))
+#: Pivots whose distances make up a cell, and the width of a cell in each.
+CELL_PIVOTS, CELL = 2, 10
 
 
 def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
@@ -82,38 +84,61 @@ def _block(fp: Column, at: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(fp, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1))
 
 
+def hamming(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y))
+
+
+def pivot_table(distinct: DataFrame, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
+    """fp, d: every fingerprint with its distances to the pivots."""
+    return distinct.select("fp", F.array(*[hamming(F.col("fp"), F.lit(p)).cast("byte") for p in pivots]).alias("d"))
+
+
+def cells(d: Column, k: int, spread: bool) -> Column:
+    """The numbers of the pivot cells of a row: its own, or with ``spread`` all that a row within ``k`` bits can lie in.
+
+    A cell is CELL distances wide in each of the first CELL_PIVOTS coordinates. Rows within k bits differ by at most k
+    in each, so the cells of d - k and of d + k take in the other row's own cell.
+    """
+    reach = k if spread else 0
+    cell = lambda at: F.floor(at / CELL).cast("int")
+    found = F.array(F.lit(0))
+    for i in range(CELL_PIVOTS):
+        at = d[i].cast("int")
+        found = F.flatten(F.transform(found, lambda c: F.transform(F.sequence(cell(at - reach), cell(at + reach)), lambda x: c * 256 + x + 128)))
+    return found
+
+
 def links(distinct: DataFrame, k: int, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
     """(a, b), a < b: every pair of distinct fingerprints (column ``fp``) at most ``k`` bits apart, once."""
     blocks = block_masks(k)
     keys = list(combinations(range(len(blocks)), 2))
-    distance = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    to_pivots = F.array(*[distance(F.col("fp"), F.lit(p)).cast("byte") for p in pivots])
     part = [_block(F.col("fp"), b) for b in blocks]
-    rows = distinct.select(
-        "fp", to_pivots.alias("d"),
-        F.posexplode(F.array(*[F.xxhash64(F.lit(n), part[i], part[j]) for n, (i, j) in enumerate(keys)])).alias("key_no", "key"),
-    )
-    x, y = rows.alias("x"), rows.alias("y")
+    table = pivot_table(distinct, pivots)
+
+    def posted(spread: bool) -> DataFrame:
+        rows = table.select("fp", "d", F.explode(cells(F.col("d"), k, spread)).alias("cell"))
+        made = F.array(*[F.xxhash64(F.lit(n), "cell", part[i], part[j]) for n, (i, j) in enumerate(keys)])
+        return rows.select("fp", "d", "cell", F.posexplode(made).alias("key_no", "key"))
+
+    x, y = posted(False).alias("x"), posted(True).alias("y")
     near = [F.abs(F.col("x.d")[i].cast("int") - F.col("y.d")[i].cast("int")) <= k for i in range(len(pivots))]
     same = [_block(F.col("x.fp"), b) == _block(F.col("y.fp"), b) for b in blocks]
     # the number of the first key whose two blocks are both equal: a link is made there only
     first = F.coalesce(*[F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(keys)])
-    condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.key_no") == F.col("y.key_no")) & (F.col("x.fp") < F.col("y.fp"))
+    condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.key_no") == F.col("y.key_no")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp"))
     for c in near:
         condition &= c
-    condition &= (distance(F.col("x.fp"), F.col("y.fp")) <= k) & (first == F.col("x.key_no"))
+    condition &= (hamming(F.col("x.fp"), F.col("y.fp")) <= k) & (first == F.col("x.key_no"))
     return x.join(y.hint("merge"), condition).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, root): for each linked node the smallest ``rank`` reachable; nodes has (fp, rank), rank unique.
+def contract(edges: DataFrame) -> DataFrame:
+    """(u, v): for each node of (u, v) edges, but the smallest of its component, that smallest node.
 
     Large-star and small-star steps on (node, parent) rows until nothing changes: O(log n) rounds, linear rows.
     Every round is checkpointed, so a lost executor costs one round at most.
     """
-    ranked = edges.join(nodes.select(F.col("fp").alias("a"), F.col("rank").alias("u")), "a")
-    ranked = ranked.join(nodes.select(F.col("fp").alias("b"), F.col("rank").alias("v")), "b").select("u", "v")
-    rows = checkpoint(ranked.distinct())
+    rows = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = rows.select("u", "v").union(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -126,9 +151,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rows = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         state = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
-            break
+            return rows
         before = state
-    return rows.select(F.col("u").alias("rank"), F.col("v").alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rank, root): for each linked node, but the first of its component, the smallest ``rank`` reachable.
+
+    nodes has (fp, rank), rank unique; edges (a, b) are of fps.
+    """
+    ranked = edges.join(nodes.select(F.col("fp").alias("a"), F.col("rank").alias("u")), "a")
+    ranked = ranked.join(nodes.select(F.col("fp").alias("b"), F.col("rank").alias("v")), "b").select("u", "v")
+    return contract(ranked).select(F.col("u").alias("rank"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 2, seed: int = 42) -> DataFrame:
