@@ -55,6 +55,18 @@ def test_near_duplicates_against_brute_force(spark):
     odd = spark.createDataFrame([(None, "a b c d e f g"), (4, "a b c d e f g"), (4, "a b c d e f g"), (5, None), (6, "")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in similar.keep_one(odd).collect()) == [4, 5]
     assert similar.keep_one(docs.limit(0)).count() == 0
+    assert {r["doc_id"] for r in similar.keep_one(docs, exact=True).collect()} == brute_groups(rows)
+
+
+def test_sets_of_repeated_shingles_and_clashing_columns(spark):
+    rows = [(9, "a a a a a", 1, 2, 3), (3, "a a a a a a a", 1, 2, 3), (None, "b c", 1, 2, 3), (None, "b  C", 4, 5, 6), (7, "a b", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, __raw int, `a.b` int")
+    kept = similar.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = sorted((r["doc_id"] or 0, r["text"].lower().replace("  ", " ")) for r in kept.collect())
+    assert left == [(0, "b c"), (3, "a a a a a a a"), (7, "a b")]
+    named = spark.createDataFrame([("k", "one two"), ("j", "one  two"), ("k", "one two")], "doc_id string, text string")
+    assert [r["doc_id"] for r in similar.keep_one(named).collect()] == ["j"]
 
 
 def test_one_large_group_of_near_copies(spark):
@@ -106,9 +118,12 @@ def test_tiles_of_several_blocks(spark, monkeypatch):
     rng = random.Random(11)
     rows = star(rng, 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(similar, "TILE_SHINGLES", 2000)
-    monkeypatch.setattr(similar, "ROUNDS", 1)
-    assert {r["doc_id"] for r in similar.keep_one(docs).collect()} == {0}
+    monkeypatch.setattr(similar, "LEADERS", 3)
+    found = similar.groups(docs, cell_weight=2000)
+    assert {r["root"]["doc_id"] for r in found.collect()} == {0}
+    rows = star(rng, 30) + star(rng, 20, words=80, edits=2, first=500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["root"]["doc_id"] for r in similar.groups(docs, cell_weight=2000, exact=True).collect()} == brute_groups(rows)
 
 
 def test_stages_on_documents(spark, sf_dir):
