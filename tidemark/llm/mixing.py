@@ -64,12 +64,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     Columns of the input with these names are replaced; all others are carried, whatever their names. Null text has
     size 0; null source is a source of its own, last in order; a source of size 0 has target 0 and takes no copies.
-    Null ids hash as the empty text. Repeated rows are separate rows with ranks of their own (which of equal rows gets
+    A row with a null id is told by its text, so that many of them
+    do not meet in one cell. Repeated rows are separate rows with ranks of their own (which of equal rows gets
     a copy makes no difference). An empty table gives an empty table. Results depend on rows and ``seed`` alone.
     """
     own = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in own]
-    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    nameless = F.concat(F.lit("\x00"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    hashed = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), nameless))
     size = word_count(F.col(text_col))
     digits = size.cast("string")
     rows = docs.select(
