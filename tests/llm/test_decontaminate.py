@@ -23,22 +23,47 @@ def test_smith_waterman():
 
 
 def brute_leaks(docs, items):
+    """Every document against every item by whole alignments: all documents in one line, row by row of an item.
+
+    A cell's best way from the left is a running maximum; a step up from document to document keeps them apart.
+    """
+    number, of, line = {}, [], []
+    for n, (_, text) in enumerate(docs):
+        words = D.plain_words(text or "")
+        line += [number.setdefault(w, len(number)) for w in words]
+        of += [n] * len(words)
+    line, of = np.array(line), np.array(of)
+    first = np.r_[True, of[1:] != of[:-1]]
+    place, step = np.arange(len(line)), 10**7 * of
     out = set()
-    for i, t in docs:
-        w = D.plain_words(t or "")
-        for k, s in items:
-            m = D.plain_words(s or "")
-            if len(m) >= D.SEED_WORDS and brute_alignment(m, w) >= D.MIN_SCORE * D.MATCH * min(len(m), D.PASSAGE_WORDS):
-                out.add((i, k))
+    for k, text in items:
+        words = D.plain_words(text or "")
+        if len(words) < D.SEED_WORDS:
+            continue
+        above, best = np.zeros(len(line), np.int64), np.zeros(len(docs), np.int64)
+        for w in words:
+            before = np.where(first, 0, np.r_[0, above[:-1]])
+            row = np.maximum(0, np.maximum(before + np.where(line == number.get(w, -1), D.MATCH, D.MISMATCH), above + D.GAP))
+            above = np.maximum.accumulate(row - D.GAP * place + step) + D.GAP * place - step
+            np.maximum.at(best, of, above)
+        least = D.MIN_SCORE * D.MATCH * min(len(words), D.PASSAGE_WORDS)
+        out |= {(docs[n][0], k) for n in np.flatnonzero(best >= least).tolist()}
     return out
 
 
-def test_documents_against_brute_force(spark, sf_dir):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r["text"] or "") < 6000][:90]
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()][:20]
-    found = {(r["doc_id"], r["item_id"]) for r in op6_decontamination(spark, sf_dir).collect()}
-    ids, keys = {i for i, _ in docs}, {k for k, _ in items}
-    assert {p for p in found if p[0] in ids and p[1] in keys} == brute_leaks(docs, items)
+def test_brute_force_is_right():
+    rng = random.Random(2)
+    docs = [(n, " ".join(rng.choice("abcd") for _ in range(rng.randrange(40)))) for n in range(30)]
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(12))) for k in range(8)]
+    want = {(i, k) for i, t in docs for k, s in items if brute_alignment(s.split(), t.split()) >= D.MIN_SCORE * D.MATCH * 12}
+    assert brute_leaks(docs, items) == want != set()
+
+
+def test_documents_against_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    assert {(r["doc_id"], r["item_id"]) for r in op6_decontamination(spark, folder).collect()} == brute_leaks(docs, items)
 
 
 def test_edited_copies_and_edges(spark):
