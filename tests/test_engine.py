@@ -187,6 +187,9 @@ def test_waiting_for_a_value():
     now, values = [0.0], iter([None, None, "v"])
     tick = lambda s: now.__setitem__(0, now[0] + s)
     assert mapstore.wait_for(lambda: next(values), 10, 1, clock=lambda: now[0], sleep=tick) == "v"
+    revs = iter([1, 3, 7])
+    mapstore.wait_for_revision(lambda: next(revs), 5, 10, pause_s=1, clock=lambda: now[0], sleep=tick)
+    assert next(revs, None) is None
     with pytest.raises(TimeoutError):
         mapstore.wait_for(lambda: None, 3, 1, clock=lambda: now[0], sleep=tick)
 

@@ -116,8 +116,11 @@ def values(ops: DataFrame) -> DataFrame:
     """(key, value) after set, set_if_absent, cas, del, cas_del and inc in revision order.
 
     cas and cas_del take effect only when the key is present with exactly the tested value; inc of a value that is no
-    integer changes nothing. Columns: rev, key, op, value, test, delta.
+    integer changes nothing. Columns: rev, key, op, value, test, delta. What a key held before its last set or del does
+    not matter, so only the operations from there on are collected.
     """
+    last = ops.groupBy("key").agg(F.max(F.when(F.col("op").isin("set", "del"), F.col("rev"))).alias("since"))
+    ops = ops.join(last, "key").where(F.col("since").isNull() | (F.col("rev") >= F.col("since"))).drop("since")
     state = "struct<live:boolean,value:string>"
     start = F.struct(F.lit(False).alias("live"), F.lit(None).cast("string").alias("value")).cast(state)
     to = lambda v: F.struct(F.lit(True).alias("live"), v.alias("value")).cast(state)
@@ -258,6 +261,11 @@ def cache_aside(requests: DataFrame, cached: DataFrame) -> DataFrame:
     return found.select("key", "value", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+def wait_for_revision(read_rev, target_rev: int, deadline_s: float, **waiting) -> None:
+    """Returns once ``read_rev()`` has reached a revision: the end of a set that waits until it can be read back."""
+    wait_for(lambda: True if caught_up(read_rev(), target_rev) else None, deadline_s, **waiting)
+
+
 def wait_for(read, deadline_s: float, pause_s: float = 0.05, clock=time.monotonic, sleep=time.sleep):
     """The first value that ``read()`` returns that is not None; a TimeoutError after the deadline."""
     end = clock() + deadline_s
