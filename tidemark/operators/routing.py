@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import job_bucket
+from tidemark.functions.hashing import crc64, job_bucket, jump_bucket
 
 # Outcomes of a claim.
 CLAIMED, PENDING, RUNNING, MALFORMED = 1, 2, 3, 4
@@ -41,7 +41,8 @@ def event_status(events: DataFrame, owners: DataFrame, payloads: DataFrame) -> D
 def rebalance(jobs: DataFrame, before: int, after: int) -> DataFrame:
     """Jobs whose bucket changes when the number of workers does."""
     n = lambda x: F.lit(x).cast("bigint")
-    moved = jobs.select("key", job_bucket(F.col("key"), n(before)).alias("old_bucket"), job_bucket(F.col("key"), n(after)).alias("new_bucket"))
+    hashed = jobs.select("key", crc64(F.col("key")).alias("hash"))
+    moved = hashed.select("key", jump_bucket(F.col("hash"), n(before)).alias("old_bucket"), jump_bucket(F.col("hash"), n(after)).alias("new_bucket"))
     return moved.where(F.col("old_bucket") != F.col("new_bucket"))
 
 
