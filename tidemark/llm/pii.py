@@ -69,11 +69,14 @@ PATTERNS = (
     ("ssn", "(?<!-)", r"\d{3}-\d{2}-\d{4}", r"(?![\p{L}\p{N}]|-\d)"),
     ("card", r"(?<!\.)", r"(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})", r"(?![\p{L}\p{N}]|\.\d)"),
     ("phone", r"(?<!\.)", r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5})", r"(?![\p{L}\p{N}]|\.\d)"),
-    ("name", "", rf"(?:{_either(MALE_TITLES + FEMALE_TITLES + TITLES)}\.? {_NAME}|{_either(KNOWN_MALE + KNOWN_FEMALE)} {_NAME})(?: {_NAME}){{0,2}}", ""),
+    ("name", "", rf"(?=\p{{Lu}})(?:{_either(MALE_TITLES + FEMALE_TITLES + TITLES)}\.? {_NAME}|{_either(KNOWN_MALE + KNOWN_FEMALE)} {_NAME})(?: {_NAME}){{0,2}}", ""),
 )
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(before + body + after for _, before, body, after in PATTERNS) + ")"
-#: What every text with a mention has somewhere.
-HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|xox[abprs]-|(?<!\p{{L}}){_either(MALE_TITLES + FEMALE_TITLES + TITLES + KNOWN_MALE + KNOWN_FEMALE)}\.? \p{{Lu}}"
+#: What every text with a mention has one of, each cheap to look for: a digit or @, the head of a key, the head of a name.
+HINTS = (
+    "[0-9@]", r"(?=[Agsx])(?:AKIA|gh[pousr]_|sk-|xox[abprs]-)",
+    rf"(?=\p{{Lu}})(?<!\p{{L}}){_either(MALE_TITLES + FEMALE_TITLES + TITLES + KNOWN_MALE + KNOWN_FEMALE)}\.? \p{{Lu}}",
+)
 #: Digits of a card whose length and beginning an issuer uses.
 ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|6\d{15,18})$"
 DIGIT_KINDS = ("card", "phone", "ssn")
@@ -312,7 +315,8 @@ def render(kind: Column, mention: Column, made: Column) -> Column:
 
 def mentions(text: Column) -> Column:
     """All matches of the patterns in order; runs of digits that are no cards are among them. Null for most others."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    hinted = text.rlike(HINTS[0]) | text.rlike(HINTS[1]) | text.rlike(HINTS[2])
+    return F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
 def named(found: Column) -> Column:
