@@ -2,12 +2,15 @@
 
 ``write_archive`` keeps every payload's bytes once, under its SHA-256, and every record's exact header block in a
 table of its own; ``read_records`` joins them back into the original record bytes. Both tables are Parquet in a
-folder that the whole cluster shares. A digest is verified twice: on writing, payloads that share it must agree in
+folder that the whole cluster shares; payloads lie in buckets of their digests, so that reading moves headers to
+payloads and only the payloads of very many records are shuffled again, in shares. A digest is verified twice: on writing, payloads that share it must agree in
 length and in a second, independent hash; on reading, the stored bytes are hashed anew.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +64,16 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         F.min("second").alias("second"), F.max("second").alias("second_most"), F.count("*").alias("n"),
     )
     verified = (F.col("bytes") == F.col("most")) & (F.col("second") == F.col("second_most"))
-    stored.select(
-        F.when(verified, F.col("digest")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("digest"),
-        "payload", "bytes", "n",
-    ).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = stored.select(
+        "digest", F.when(verified, F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("payload"), "bytes", "n",
+    )
+    name = f"warc_{uuid.uuid4().hex}"
+    # one bucket to a partition of the exchange that grouped them, so each bucket is one file
+    kept.write.bucketBy(buckets, "digest").option("path", f"{path}/payloads").option("compression", "zstd").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table only names their buckets
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
     slim = records.select("id", "url", "digest", "bytes")
     firsts = (
         slim.groupBy("digest")
@@ -76,7 +85,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     revisit = F.coalesce((F.col("first_id") < F.col("id")) & (F.col("bytes") >= REVISIT_MIN_BYTES), F.lit(False))
     headed.select(
         F.encode(F.when(revisit, _header("revisit")).otherwise(_header("response")), "UTF-8").alias("header"), "digest",
-        F.when(F.col("n") > HOT_ROWS, F.col("salt")).otherwise(0).alias("shard"),
+        F.when(F.col("n") > HOT_ROWS, F.col("salt")).alias("shard"),
     ).write.parquet(f"{path}/headers")
     return path
 
@@ -88,23 +97,26 @@ def field(name: str) -> Column:
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """digest, payload, bytes, n (records that have it); raises where stored bytes no longer have their digest."""
-    stored = spark.read.parquet(f"{path}/payloads")
+    """digest, payload, bytes, n (records that have it), in buckets by digest; raises where stored bytes no longer have
+    their digest."""
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    name = f"warc_{uuid.uuid4().hex}"
+    place = f"{path}/payloads".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} (digest STRING, payload BINARY, bytes BIGINT, n BIGINT) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'")
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # what was read is resolved; the files stay
     right = F.sha2("payload", 256) == F.col("digest")
-    return stored.select(
-        F.when(right, F.col("digest")).otherwise(F.raise_error(F.lit("a stored payload is damaged"))).alias("digest"),
-        "payload", F.octet_length("payload").cast("long").alias("bytes"), "n",
-    )
+    whole = lambda c: F.when(right, c).otherwise(F.raise_error(F.lit("a stored payload is damaged")))
+    return stored.select("digest", whole(F.col("payload")).alias("payload"), whole(F.octet_length("payload").cast("long")).alias("bytes"), "n")
 
 
 def _records(spark: SparkSession, path: str, payload_columns: list[str]) -> DataFrame:
     """Headers joined to payload columns; a payload of very many records meets them in SALTS shards."""
-    headers = spark.read.parquet(f"{path}/headers")
-    last = F.when(F.col("n") > HOT_ROWS, SALTS - 1).otherwise(0)
-    payloads = read_payloads(spark, path).select(
-        "digest", *payload_columns, F.explode(F.sequence(F.lit(0), last)).alias("shard"),
-    )
-    return headers.join(payloads, ["digest", "shard"]).drop("shard")
+    headers, payloads = spark.read.parquet(f"{path}/headers"), read_payloads(spark, path)
+    few = headers.where("shard IS NULL").drop("shard").join(payloads.select("digest", *payload_columns), "digest")
+    dealt = payloads.where(F.col("n") > HOT_ROWS).select("digest", *payload_columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("shard"))
+    many = headers.where("shard IS NOT NULL").join(dealt, ["digest", "shard"]).drop("shard")
+    return few.unionByName(many)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
