@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,16 @@ def crc_mod(doc_id, modulus: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def release(spark: SparkSession) -> None:
+    """Gives memory that a fit on the driver needs no more, or not yet, back to the system, where its allocators can."""
+    spark.sparkContext._jvm.System.gc()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches, text_at: int, max_chars: int) -> Iterator[tuple[list, list[str]]]:
     """Arrow batches cut so that Python holds about ``max_chars`` characters of text at once.
 
@@ -107,6 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, eligible, boun
     text = F.coalesce("text", F.lit("")).alias("__text")
     found = docs.select(F.col("doc_id").alias("__id"), text).join(F.broadcast(ids), "__id")
     rows = found.groupBy("__id", "__y").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text")).collect()
+    release(docs.sparkSession)
     rows.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), str(r["__id"])))
     y = np.array([r["__y"] for r in rows], np.int64)
     n = np.bincount(y, minlength=2)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, text_slices
+from tidemark.llm.common import crc_mod, release, text_slices
 
 #: Bound of labelled documents in the fitting sample, shared among languages; they are learned from whole.
 SAMPLE_ROWS = 1200
@@ -285,7 +285,9 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_i
     once = drawn.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r"), F.min(draw / limit).alias("turn"))
     chosen = once.orderBy("turn", "id").limit(sample_rows * 3 // 2).select("id", "r.lang", "r.text").collect()
     chosen.sort(key=lambda r: (r["lang"], zlib.crc32(str(r["id"]).encode()), str(r["id"])))
-    return Field([(r["lang"], r["text"]) for r in chosen])
+    field = Field([(r["lang"], r["text"]) for r in chosen])
+    release(docs.sparkSession)
+    return field
 
 
 def identify(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

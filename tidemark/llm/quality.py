@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_mod, text_slices, training_rows
+from tidemark.llm.common import crc_mod, release, text_slices, training_rows
 
 #: Bound of the labelled fitting sample; dimensions; index vector's non-zeros; window; hidden units.
-SAMPLE_ROWS, DIM, NONZERO, WINDOW, HIDDEN = 3000, 64, 6, 2, 24
+SAMPLE_ROWS, DIM, NONZERO, WINDOW, HIDDEN = 2000, 64, 6, 2, 24
 #: Pieces with a vector of their own occur so often in the sample.
 MIN_COUNT = 5
 FOLDS, HELD_OUT = 5, 0
@@ -73,9 +73,8 @@ class Vectors:
         names = sorted(known | {SAME, "<signs>", "<digits>"} | {f"<word {n}>" for n in range(1, 13)})
         self.at = {p: n for n, p in enumerate(names)}
         at, sign = index_vectors(names)
-        width = len(names) * DIM
-        index = np.bincount((np.arange(len(names))[:, None] * DIM + at).ravel(), sign.ravel(), minlength=width)
-        context = np.zeros(width)
+        at, sign = at.astype(np.int32), sign.astype(np.float32)
+        context = np.zeros(len(names) * DIM, np.float32)  # sums of whole numbers, added in place
         for first in range(0, len(texts), FIT_TEXTS):
             memo: dict[str, list[int]] = {}
             ids = []
@@ -90,11 +89,11 @@ class Vectors:
                 key, n = np.unique(np.concatenate(pairs), return_counts=True)
                 left, right = np.divmod(key, len(names))
                 for k in range(NONZERO):
-                    context += np.bincount(left * DIM + at[right, k], sign[right, k] * n, minlength=width)
-                    context += np.bincount(right * DIM + at[left, k], sign[left, k] * n, minlength=width)
-        index, context = index.reshape(-1, DIM), context.reshape(-1, DIM)
-        norm = np.linalg.norm(context, axis=1, keepdims=True)
-        self.table = (index + context / np.maximum(norm, 1e-9) * np.sqrt(NONZERO)).astype(np.float32)
+                    np.add.at(context, left * DIM + at[right, k], sign[right, k] * n.astype(np.float32))
+                    np.add.at(context, right * DIM + at[left, k], sign[left, k] * n.astype(np.float32))
+        self.table = context.reshape(-1, DIM)
+        self.table *= np.float32(np.sqrt(NONZERO)) / np.maximum(np.linalg.norm(self.table, axis=1, keepdims=True), np.float32(1e-9))
+        np.add.at(context, (np.arange(len(names))[:, None] * DIM + at).ravel(), sign.ravel())
 
     def number(self, piece: str) -> int:
         n = self.at.get(piece)
@@ -197,7 +196,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` labelled documents of the learning folds, half of each label."""
-    return Model(*training_rows(docs, labels, "quality", lambda c: crc_mod(c, FOLDS) != HELD_OUT, sample_rows))
+    model = Model(*training_rows(docs, labels, "quality", lambda c: crc_mod(c, FOLDS) != HELD_OUT, sample_rows))
+    release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

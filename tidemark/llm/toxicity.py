@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_mod, text_slices, training_rows
+from tidemark.llm.common import crc_mod, release, text_slices, training_rows
 
 #: Bound of the labelled fitting sample; documents a feature must occur in; lengths of word beginnings.
 SAMPLE_ROWS, MIN_DOCS, STEMS = 6000, 3, (4, 5, 6)
@@ -140,7 +140,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` labelled documents of the learning folds, half of each label."""
-    return Model(*training_rows(docs, labels, "toxic", lambda c: crc_mod(c, FOLDS) != HELD_OUT, sample_rows))
+    model = Model(*training_rows(docs, labels, "toxic", lambda c: crc_mod(c, FOLDS) != HELD_OUT, sample_rows))
+    release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
