@@ -142,6 +142,35 @@ def test_values_against_simulation(spark):
     assert {r["key"]: r["value"] for r in mapstore.values(df).collect()} == state
 
 
+def whole_logs(df):
+    """Whether a plan gathers the log of a key or map in one value."""
+    return "collect_list" in df._jdf.queryExecution().toString()
+
+
+def test_op_results_of_one_long_key_against_simulation(spark):
+    rng = random.Random(12)
+    rows, want, state = [], {}, {}
+    for rev in range(1, 20_001):
+        k = "hot" if rng.random() < 0.9 else rng.choice(["cold", None])
+        op, v, t = rng.choice(["set", "cas", "cas", "cas", "del", "cas_del"]), rng.choice(["0", "1", "", None]), rng.choice(["0", "1", "", None])
+        rows.append((k, rev, op, v, t))
+        live, cur = k in state, state.get(k)
+        hit = op == "set" or (live if op == "del" else live and cur is not None and cur == t)
+        want[k, rev] = (op, cur if live else "", live, hit)
+        if hit and op in ("set", "cas"):
+            state[k] = v
+        elif hit:
+            del state[k]
+    rng.shuffle(rows)
+    got = mapstore.op_results(spark.createDataFrame(rows, "key string, rev long, op string, value string, test string"))
+    assert not whole_logs(got)
+    assert {(r["key"], r["rev"]): (r["op"], r["prev"], r["existed"], r["updated"]) for r in got.collect()} == want
+    pairs = spark.createDataFrame([((1, "a"), 1, "set", "x", ""), ((1, "b"), 2, "del", None, ""), ((1, "a"), 3, "del", None, "")], "key struct<n:int,s:string>, rev long, op string, value string, test string")
+    assert {r["rev"]: (r["prev"], r["updated"]) for r in mapstore.op_results(pairs).collect()} == {1: ("", True), 2: ("", False), 3: ("x", True)}
+    floats = spark.createDataFrame([(float("nan"), rev, "set", str(rev), "") for rev in range(1, 30_000)], "key double, rev long, op string, value string, test string")
+    assert mapstore.op_results(floats.coalesce(1)).where("existed").count() == 29_998
+
+
 def test_test_and_reset(spark):
     rows = [("m", 1, "set", "a", "1", None), ("m", 2, "set", "b", "2", None), ("m", 3, "test_and_reset", None, None, {"a": "1", "c": "3"}), ("m", 4, "test_and_reset", None, None, {"a": "1"}), ("m", 5, "test_and_reset", None, None, {"a": "1"}), ("m", 6, "test_and_reset", None, None, {})]
     df = spark.createDataFrame(rows, "map string, rev long, op string, key string, value string, tests map<string,string>")

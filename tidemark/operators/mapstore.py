@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,29 +138,62 @@ def values(ops: DataFrame) -> DataFrame:
     return _fold(ops, ["key"], ["op", "value", "test", "delta"], start, step).where("state.live").select("key", F.col("state.value").alias("value"))
 
 
+def _scanned(rows: DataFrame, by: str, order: list[str], run, schema: str) -> DataFrame:
+    """``run(batches)`` over the rows of a task, all of a ``by`` value together and in order.
+
+    Rows come as a stream, so a scan holds a state and one batch, however many rows a value has.
+    """
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
+def _begins(column: pa.Array, before: list) -> list[bool]:
+    """Where a sorted column begins a new value; ``before`` holds the row before it and is set to its last."""
+    whole = pa.concat_arrays([*before, column])
+    if pa.types.is_nested(whole.type):
+        values = whole.to_pylist()
+        new = [a != b for a, b in zip(values[1:], values, strict=False)]
+    else:  # nulls are one value, and so are floats that are no numbers
+        codes = whole.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new = (codes[1:] != codes[:-1]).tolist()
+    first = [] if before else [True]
+    before[:] = [column.slice(len(column) - 1)]
+    return first + new
+
+
+def _strings(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def op_results(ops: DataFrame) -> DataFrame:
     """(key, rev, op, prev, existed, updated) of every set, cas, del and cas_del: what its caller is told.
 
     ``updated`` says whether the operation took effect: a del or cas_del of a missing key does not, a cas only when the
-    present value is the tested one (a missing key never matches, not even an empty test).
+    present value is the tested one (a missing key never matches, not even an empty test). One scan of each key's
+    operations in revision order.
     """
-    out = "array<struct<rev:bigint,op:string,prev:string,existed:boolean,updated:boolean>>"
-    state = f"struct<live:boolean,value:string,out:{out}>"
-    start = F.struct(F.lit(False).alias("live"), F.lit(None).cast("string").alias("value"), F.array().cast(out).alias("out")).cast(state)
-
-    def step(s: Column, o: Column) -> Column:
-        same = F.coalesce(s["live"] & (s["value"] == o["test"]), F.lit(False))
-        hit = F.when(o["op"] == "set", True).when(o["op"] == "del", s["live"]).otherwise(same)
-        told = F.struct(o["rev"].alias("rev"), o["op"].alias("op"), F.when(s["live"], s["value"]).otherwise("").alias("prev"), s["live"].alias("existed"), hit.alias("updated"))
-        writes = o["op"].isin("set", "cas")
-        return F.struct(
-            F.when(hit, writes).otherwise(s["live"]).alias("live"),
-            F.when(hit & writes, o["value"]).when(hit, F.lit(None).cast("string")).otherwise(s["value"]).alias("value"),
-            F.concat(s["out"], F.array(told)).alias("out"),
-        ).cast(state)
-
-    folded = _fold(ops, ["key"], ["op", "value", "test"], start, step)
-    return folded.select("key", F.explode("state.out").alias("r")).select("key", "r.*")
+    kind = ops.schema["key"].dataType.simpleString()
+    rows = ops.select("key", F.col("rev").cast("long"), F.col("op").cast("string"), F.col("value").cast("string"), F.col("test").cast("string"))
+
+    def run(batches):
+        before, live, value = [], False, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            prevs, existed, updated = [], [], []
+            for begins, op, new, test in zip(_begins(b.column(0), before), *map(_strings, b.columns[2:]), strict=True):
+                if begins:
+                    live, value = False, None
+                hit = True if op == "set" else live if op == "del" else live and value is not None and value == test
+                prevs.append(value if live else "")
+                existed.append(live)
+                updated.append(hit)
+                if hit:
+                    live = op in ("set", "cas")
+                    value = new if live else None
+            told = [pa.array(prevs, pa.string()), pa.array(existed, pa.bool_()), pa.array(updated, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *told], ["key", "rev", "op", "prev", "existed", "updated"])
+
+    return _scanned(rows, "key", ["rev", "op", "value", "test"], run, f"key {kind}, rev long, op string, prev string, existed boolean, updated boolean")
 
 
 def remove_results(log: DataFrame) -> DataFrame:
