@@ -284,3 +284,22 @@ def test_forecast_frames_cut_anywhere(spark):
     assert bytes(back) == whole
     one = spark.createDataFrame([(place,), (place[:-1],)], "f binary").select(codecs.decode_location(F.col("f")).alias("l")).collect()
     assert one[0]["l"]["city"] == "Sán" and one[1]["l"] is None
+
+
+def test_schedule_runs_of_many_callers(spark):
+    rng = random.Random(13)
+    callers = [(rng.choice([1, 2, None]), rng.choice([n, None]), rng.choice([rng.randrange(400, 900), None])) for n in range(60)] + [(3, 7, 50), (3, 5, 50), (4, 1, 5000)]
+    ticks = [(rng.choice([1, 2, 4, None]), rng.randrange(0, 1000)) for _ in range(200)] + [(3, 50), (3, 51), (3, 51), (1, None)]
+    want = list(callers)
+    for p, at in set(ticks):
+        by_then = [(s, -1 if n is None else n) for q, n, s in callers if p is not None and q == p and s is not None and at is not None and s < at]
+        if by_then:
+            node = min(by_then)[1]
+            want.append((p, None if node < 0 else node, at))
+    c, t = spark.createDataFrame(callers, "producer long, node long, at long"), spark.createDataFrame(ticks, "producer long, at long")
+    assert sorted(map(str, map(tuple, timing.schedule_runs(c, t).collect()))) == sorted(map(str, want))
+    # a tick is never held against all callers of its producer
+    many, on = spark.range(30_000).selectExpr("1L producer", "id node", "id at"), spark.range(30_000).selectExpr("1L producer", "id + 100000 at")
+    met = timing.schedule_runs(many, on)
+    assert met.count() == 60_000 and met.where("at >= 100000 and node <> 0").count() == 0
+    assert "producer#" in (plan := met._jdf.queryExecution().optimizedPlan().toString()) and "Join" in plan and "min(struct(since" in plan

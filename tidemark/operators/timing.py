@@ -59,9 +59,10 @@ def advance(tickers: DataFrame, attempts: DataFrame, now: int) -> DataFrame:
 def schedule_runs(callers: DataFrame, ticks: DataFrame) -> DataFrame:
     """(producer, node, at) of the plans that are made: at once by every caller (producer, node, at), then at each tick
     (producer, at) by one node, the first of those that have scheduled the producer by then."""
-    asked = callers.select("producer", "node", F.col("at").alias("since"))
-    on_tick = ticks.join(asked, "producer").where(F.col("since") < F.col("at")).groupBy("producer", "at").agg(F.min_by("node", F.struct("since", "node")).alias("node"))
-    return callers.select("producer", "node", "at").unionByName(on_tick.select("producer", "node", "at"))
+    asked = callers.where("at IS NOT NULL").groupBy("producer").agg(F.min(F.struct(F.col("at").alias("since"), "node")).alias("first"))
+    # who asked first is the first at every tick, so a tick meets one caller
+    due = ticks.select("producer", "at").distinct().join(asked, "producer").where(F.col("first.since") < F.col("at"))
+    return callers.select("producer", "node", "at").unionByName(due.select("producer", "first.node", "at"))
 
 
 def plan_changes(plans: DataFrame) -> DataFrame:
