@@ -177,6 +177,31 @@ def test_test_and_reset(spark):
     assert {r["rev"]: r["reset"] for r in mapstore.test_and_reset(df).collect()} == {3: False, 4: True, 5: False, 6: True}
 
 
+def test_test_and_reset_of_one_long_map_against_simulation(spark):
+    rng = random.Random(14)
+    rows, want, state = [], {}, {}
+    for rev in range(1, 20_001):
+        m = "hot" if rng.random() < 0.9 else rng.choice(["cold", None])
+        op, k, v = rng.choice(["set"] * 6 + ["del", "test_and_reset", "test_and_reset", "other"]), f"k{rng.randrange(4)}", rng.choice(["0", "1", None])
+        op = "reset" if rng.random() < 0.01 else op
+        tests = {f"k{n}": rng.choice(["0", "1", None]) for n in rng.sample(range(5), rng.randrange(3))} if rng.random() < 0.95 else None
+        rows.append((m, rev, op, k, v, tests))
+        held = state.setdefault(m, {})
+        if op == "test_and_reset":
+            want[m, rev] = all(x is not None and held.get(n) == x for n, x in (tests or {}).items())
+        if op == "reset" or want.get((m, rev)):
+            held.clear()
+        elif op == "set":
+            held[k] = v
+        elif op == "del":
+            held.pop(k, None)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "map string, rev long, op string, key string, value string, tests map<string,string>")
+    got = mapstore.test_and_reset(df)
+    assert not whole_logs(got)
+    assert {(r["map"], r["rev"]): r["reset"] for r in got.collect()} == want and {True, False} == set(want.values())
+
+
 def test_groups(spark):
     d = spark.createDataFrame([("s", "g", "c1", 1, 0, 100), ("s", "g", "c2", 2, 0, 900)], "stream string, sink string, consumer string, id_ms long, id_seq long, delivered_ms long")
     acks = spark.createDataFrame([("s", "g", 2, 0)], "stream string, sink string, id_ms long, id_seq long")

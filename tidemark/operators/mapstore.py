@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -239,30 +241,46 @@ def cas_chain(ops: DataFrame) -> DataFrame:
 def test_and_reset(changes: DataFrame) -> DataFrame:
     """(map, rev, reset): whether each test_and_reset takes effect: all tested keys hold their values (none tested: yes).
 
-    The condition reads several keys, so a map is folded whole, its content one value of the fold: for maps that fit in
-    memory. Columns: map, rev, op, key, value, tests (map of key to value).
+    The condition reads several keys, so a map's log is scanned in revision order. A scan holds the map's content, which
+    has to fit in memory, and one batch of its log. Columns: map, rev, op, key, value, tests (map of key to value). A set
+    or del without a key changes nothing.
     """
-    state = "struct<content:map<string,string>,out:array<struct<rev:bigint,reset:boolean>>>"
-    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    start = F.struct(nothing.alias("content"), F.array().cast("array<struct<rev:bigint,reset:boolean>>").alias("out")).cast(state)
+    kind = changes.schema["map"].dataType.simpleString()
+    tested = F.col("op") == "test_and_reset"
+    known = changes.where(F.col("op").isin("set", "del", "test_and_reset", *RESETS))
+    entries = F.when(tested, F.map_entries("tests"))
+    field = lambda name: F.transform(entries, lambda e: e[name].cast("string")).alias(f"test_{name}s")
+    rows = known.select("map", F.col("rev").cast("long"), F.col("op").cast("string"), F.col("key").cast("string"), F.col("value").cast("string"), field("key"), field("value"))
 
-    def step(s: Column, o: Column) -> Column:
-        c, op = s["content"], o["op"]
-        holds = lambda e: F.coalesce(F.try_element_at(c, e["key"]) == e["value"], F.lit(False))
-        hit = F.coalesce(F.forall(F.map_entries(o["tests"]), holds), F.lit(True))
-        rest = F.map_filter(c, lambda k, _: k != o["key"])
-        content = (
-            F.when(op == "set", F.map_concat(rest, F.map_from_arrays(F.array(o["key"]), F.array(o["value"])))).when(op == "del", rest)
-            .when(op.isin(*RESETS) | ((op == "test_and_reset") & hit), nothing).otherwise(c)
-        )
-        told = F.concat(s["out"], F.array(F.struct(o["rev"].alias("rev"), hit.alias("reset"))))
-        return F.struct(content.alias("content"), F.when(op == "test_and_reset", told).otherwise(s["out"]).alias("out")).cast(state)
-
-    # maps cannot be sorted by, so rows are ordered by revision and place
-    listed = F.collect_list(F.struct("rev", "op", "key", "value", "tests"))
-    ordered = F.array_sort(listed, lambda x, y: F.when(x["rev"] < y["rev"], -1).when(x["rev"] > y["rev"], 1).otherwise(0))
-    folded = changes.groupBy("map").agg(ordered.alias("ops")).select("map", F.aggregate("ops", start, step)["out"].alias("out"))
-    return folded.select("map", F.explode("out").alias("r")).select("map", "r.rev", "r.reset")
+    def run(batches):
+        before, content = [], {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, told = [], []
+            keys, values = (_strings(b.column(n).flatten()) for n in (5, 6))
+            ends = np.cumsum(pc.list_value_length(b.column(5)).fill_null(0).to_numpy()).tolist()
+            begin = 0
+            for n, (begins, op, key, value, end) in enumerate(zip(_begins(b.column(0), before), *map(_strings, b.columns[2:5]), ends, strict=True)):
+                if begins:
+                    content = {}
+                if op == "test_and_reset":
+                    hit = all(v is not None and content.get(k) == v for k, v in zip(keys[begin:end], values[begin:end], strict=True))
+                    at.append(n)
+                    told.append(hit)
+                    if hit:
+                        content = {}
+                elif op in RESETS:
+                    content = {}
+                elif op == "del":
+                    content.pop(key, None)
+                elif key is not None:
+                    content[key] = value
+                begin = end
+            asked = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([asked.column(0), asked.column(1), pa.array(told, pa.bool_())], ["map", "rev", "reset"])
+
+    return _scanned(rows, "map", ["rev"], run, f"map {kind}, rev long, reset boolean")
 
 
 def list_values(live: DataFrame) -> DataFrame:
