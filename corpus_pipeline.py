@@ -20,7 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    SimHash fingerprints that pivot tables let meet, checked by exact shingle sets; keys find what differs in more bits.
+    """
     return similar.keep_one(docs, shingle=SHINGLE_WORDS, similarity=SIMILARITY)
 
 

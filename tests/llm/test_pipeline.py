@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
-from tidemark.llm import decontaminate, mixing, quality, similar
+from tidemark.llm import decontaminate, mixing, quality, simhash, similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -126,6 +128,50 @@ def test_tiles_of_several_blocks(spark, monkeypatch):
     assert {r["root"]["doc_id"] for r in similar.groups(docs, cell_weight=2000, exact=True).collect()} == brute_groups(rows)
 
 
+def bits(a, b):
+    return bin((a ^ b) & (2**64 - 1)).count("1")
+
+
+def test_simhash_links_are_checked_and_need_no_keys(spark, monkeypatch):
+    """Without any key of the other way, texts within the radius are joined if their sets are alike, and only those."""
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts, line = [], [word() for _ in range(9)]
+    for _ in range(30):
+        base = [word() for _ in range(rng.randrange(150, 400))]
+        texts += [" ".join(base), " ".join(base[:-1] + [word()]), " ".join(base + [word()])]
+    texts += [" ".join(line * 100), " ".join(line * 100 + [word() for _ in range(60)])]  # one fingerprint or nearly, other sets
+    prints, sets = [simhash.fingerprint(t, 3, 42) for t in texts], [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if bits(prints[i], prints[j]) <= similar.RADIUS]
+    alike = [(i, j) for i, j in pairs if jaccard(sets[i], sets[j]) >= 0.8]
+    for i, j in alike:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    assert len(alike) > 10 and (len(texts) - 1, len(texts) - 2) in set(pairs) - set(alike)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", similar.raw_hash(F.col("text")).alias("raw"), "text")
+    made = similar.sketches(rows, 5, 0.8, False)
+    nodes = made.select("id", F.struct(F.lit(False).alias("none"), "doc_id", "raw").alias("first"), "fp", "size", F.array().cast("array<long>").alias("keys"))
+    number = {bytes(r["id"]): r["doc_id"] for r in made.collect()}
+    for weight in (similar.CELL_WEIGHT, 300):
+        found = [(number[bytes(r["a"])], number[bytes(r["b"])]) for r in similar.links_of(nodes, rows, 5, 0.8, False, weight).collect()]
+        assert all(jaccard(sets[i], sets[j]) >= 0.8 for i, j in found)
+        group = list(range(len(texts)))
+        for i, j in found:
+            group = [group[i] if g == group[j] else g for g in group]
+        assert len(set(group)) == len({root(i) for i in range(len(texts))}) and all(group[i] == group[root(i)] for i in range(len(texts)))
+    met = []
+    monkeypatch.setattr(similar, "links", lambda *a: met.append(a) or simhash.links(*a))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in C.dedup_stage(spark, docs, "").collect()} == brute_groups(list(enumerate(texts))) and len(met) == 1
+
+
 def test_stages_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in C.STAGES] == ["quality", "near-dedup", "decontamination", "pii", "mixing"]

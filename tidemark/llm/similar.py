@@ -1,8 +1,13 @@
 """Near-duplicate groups at a word-shingle similarity, and keeping one document of each group.
 
-The SimHash stage of a corpus pipeline wants all pairs at a Jaccard similarity of 0.8 or more. At that likeness 64-bit
+First the SimHash operator's own steps: every distinct word sequence has its 64-bit fingerprint, pivot distance tables
+decide which fingerprints meet and are linked (``simhash.links``), and the texts of a component are held against each
+other by their exact shingle sets; those at the similarity are one group from then on.
+
+A SimHash stage of a corpus pipeline wants all pairs at a Jaccard similarity of 0.8 or more. At that likeness
 fingerprints differ in up to some twenty bits, too many for block keys or pivot tables, and they count repeated
-shingles, which the sets do not. So texts meet under keys made of the same shingle hashes, and exact shingle sets decide:
+shingles, which the sets do not. So what lies beyond the radius is not given up: groups that are still apart meet under
+keys made of shingle hashes, and exact shingle sets decide again:
 
 * by default the keys are BANDS bands of WIDTH minima (a pair at 0.8 shares one with probability 0.9994, at 0.85 with
   0.99998);
@@ -26,8 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_small, checkpoint, free_name, text_slices
-from tidemark.llm.simhash import contract, shingle_hashes
+from tidemark.llm.simhash import contract, fingerprint, links, shingle_hashes
 
+#: Words of a fingerprint's shingles, its seed, and the differing bits up to which fingerprints are linked.
+PRINT_SHINGLE, PRINT_SEED, RADIUS = 3, 42, 3
 #: Bands, minima in a band.
 BANDS, WIDTH = 14, 4
 #: Share of equal minima at which a pair is verified (a pair at 0.8 falls below it with a probability of 1e-7).
@@ -78,15 +85,16 @@ def raw_hash(text: Column) -> Column:
 
 
 def sketches(rows: DataFrame, shingle: int, similarity: float, exact: bool) -> DataFrame:
-    """(doc_id, raw, text) to (doc_id, raw, id, size, keys); a text without words has no keys."""
+    """(doc_id, raw, text) to (doc_id, raw, id, fp, size, keys); a text without words has no keys."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for part, texts in text_slices(batches, 2, 4_000_000):
-            ids, sizes, keys = [], [], []
+            ids, prints, sizes, keys = [], [], [], []
             for text in texts:
                 distinct = np.unique(shingle_hashes(text, shingle))
                 ids.append(digest(text))
+                prints.append(fingerprint(text, PRINT_SHINGLE, PRINT_SEED))
                 sizes.append(len(distinct))
                 if len(distinct):
                     own = prefix_keys(distinct, similarity) if exact else band_keys(minima(distinct))
@@ -94,11 +102,11 @@ def sketches(rows: DataFrame, shingle: int, similarity: float, exact: bool) -> D
                 else:
                     keys.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "raw", "id", "size", "keys"],
+                [part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "raw", "id", "fp", "size", "keys"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, raw long, id binary, size int, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, raw long, id binary, fp long, size int, keys array<long>")
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -128,31 +136,66 @@ def with_text(chosen: DataFrame, rows: DataFrame) -> DataFrame:
     return met.select("text", "id", *others)
 
 
+def linked_prints(nodes: DataFrame) -> DataFrame:
+    """(id, key) of every text with words: the smallest fingerprint of its SimHash component."""
+    own = nodes.where("size > 0").select("id", "fp")
+    edges = links(own.select("fp").distinct(), RADIUS).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = contract(edges).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return own.join(roots, "fp", "left").select("id", F.coalesce("root", "fp").alias("key"))
+
+
+def sharing(keyed: DataFrame) -> DataFrame:
+    """(key, id, head) of the keys that several texts have, with the smallest id of the key."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
+    return checkpoint(keyed.join(shared, "key").select("key", "id", "head"))
+
+
 def links_of(nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, exact: bool, cell_weight: int = CELL_WEIGHT) -> DataFrame:
-    """(a, b) ids of distinct texts that share a key and are verified; enough of them to join all that are alike."""
-    banded = nodes.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
-    everyone = checkpoint(banded.join(shared, "key").select("key", "id", "head"))
+    """(a, b) ids of distinct texts that are verified; enough of them to join all that are alike.
+
+    Texts meet in their SimHash component first, then the groups which that has made meet under their texts' keys.
+    """
+    how = similarity, 0.0 if exact else LEAST_EQUAL, cell_weight
+    everyone = sharing(linked_prints(nodes))
+    near = verified(everyone, everyone.select("id", F.col("head").alias("cell")), None, nodes, rows, shingle, *how)
+    everyone = sharing(nodes.select("id", F.explode("keys").alias("key")))
     cells = contract(everyone.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct())
     cells = cells.select(F.col("u").alias("id"), F.col("v").alias("cell"))
     cells = cells.unionByName(cells.select(F.col("cell").alias("id"), "cell").distinct())
+    return near.unionByName(verified(everyone, cells, near, nodes, rows, shingle, *how))
+
+
+def joined(found: DataFrame) -> DataFrame:
+    """(id, root) of the texts that links (a, b) join to a smaller one."""
+    return contract(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def verified(everyone: DataFrame, cells: DataFrame, known: DataFrame | None, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, least: float, cell_weight: int) -> DataFrame:
+    """(a, b): verified links between texts of a cell (id, cell) that ``known`` links do not join; in cells of more than
+    ``cell_weight`` between texts that share a key of ``everyone``."""
     weight = F.greatest(F.col("size"), F.lit(MIN_WEIGHT)).cast("long").alias("weight")
-    placed = checkpoint(nodes.join(cells, "id").select("id", "first", weight, "cell"))
-    per_cell = placed.groupBy("cell").agg(F.sum("weight").alias("of_cell"))
+    placed = nodes.join(cells, "id")
+    if known is None:
+        placed = placed.withColumn("label", F.col("id"))
+    else:
+        placed = placed.join(joined(known), "id", "left").withColumn("label", F.coalesce("root", "id"))
+    placed = checkpoint(placed.select("id", "first", weight, "cell", "label"))
+    # a cell of one group has nothing to join
+    per_cell = placed.groupBy("cell").agg(F.sum("weight").alias("of_cell"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").drop("mixed")
     total = placed.agg(F.sum("weight").alias("w")).first()["w"] or 0
     packs = 1 + int(total * 4 // cell_weight)
-    small = placed.join(per_cell.where(F.col("of_cell") <= cell_weight), "cell").select("id", "first", "cell")
+    small = placed.join(per_cell.where(F.col("of_cell") <= cell_weight), "cell").select("id", "first", "cell", "label")
     facts = shingle_sets(with_text(small, rows), shingle).withColumn("part", F.lit(BOTH))
-    least = 0.0 if exact else LEAST_EQUAL
-    packed = facts.select(F.pmod(F.xxhash64("cell"), F.lit(packs)).alias("pack"), "cell", "id", F.col("id").alias("label"), "part", F.lit(True).alias("twin"), "minima", "shingles")
-    links = checkpoint(packed.groupBy("pack").applyInArrow(lambda t: _pack(t, similarity, least), "a binary, b binary"))
-    large = checkpoint(placed.join(per_cell.where(F.col("of_cell") > cell_weight), "cell").select("id", "first", "weight"))
+    packed = facts.select(F.pmod(F.xxhash64("cell"), F.lit(packs)).alias("pack"), "cell", "id", "label", "part", F.lit(True).alias("twin"), "minima", "shingles")
+    found = checkpoint(packed.groupBy("pack").applyInArrow(lambda t: _pack(t, similarity, least), "a binary, b binary"))
+    large = checkpoint(placed.join(per_cell.where(F.col("of_cell") > cell_weight), "cell").select("id", "first", "weight", "label"))
     if large.isEmpty():
-        return links
+        return found
     facts = checkpoint(shingle_sets(with_text(large.select("id", "first"), rows), shingle).dropDuplicates(["id"]))
-    members = checkpoint(everyone.select("key", "id").join(large.select("id", "weight"), "id"))
+    members = checkpoint(everyone.select("key", "id").join(large.select("id", "weight", "label"), "id"))
     led = checkpoint(by_leaders(members, facts, similarity, least, cell_weight))
-    return links.unionByName(led).unionByName(between_groups(members, facts, led, similarity, least, cell_weight))
+    joins = led if known is None else led.unionByName(known)
+    return found.unionByName(led).unionByName(between_groups(members, facts, joins, similarity, least, cell_weight))
 
 
 def _met(tiles: DataFrame, facts: DataFrame, similarity: float, least: float) -> DataFrame:
@@ -167,21 +210,20 @@ def by_leaders(members: DataFrame, facts: DataFrame, similarity: float, least: f
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.sum("weight") / cell_weight).cast("int").alias("shards"))
     drawn = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) * F.col("n") < F.lit(LEADERS << 30)
-    known = members.join(sizes, "key").select("key", "id", "shards", (drawn | (F.col("n") <= LEADERS)).alias("leads"))
+    known = members.join(sizes, "key").select("key", "id", "label", "shards", (drawn | (F.col("n") <= LEADERS)).alias("leads"))
     own = F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")
-    guests = known.select("key", "id", own.alias("g"), F.lit(0).alias("h"), F.lit(GUEST).alias("part"), F.col("leads").alias("twin"))
-    hosts = known.where("leads").select("key", "id", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("g"), F.lit(0).alias("h"), F.lit(HOST).alias("part"), F.lit(True).alias("twin"))
-    return _met(guests.unionByName(hosts).withColumn("label", F.col("id")), facts, similarity, least).distinct()
+    guests = known.select("key", "id", "label", own.alias("g"), F.lit(0).alias("h"), F.lit(GUEST).alias("part"), F.col("leads").alias("twin"))
+    hosts = known.where("leads").select("key", "id", "label", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("g"), F.lit(0).alias("h"), F.lit(HOST).alias("part"), F.lit(True).alias("twin"))
+    return _met(guests.unionByName(hosts), facts, similarity, least).distinct()
 
 
-def between_groups(members: DataFrame, facts: DataFrame, links: DataFrame, similarity: float, least: float, cell_weight: int) -> DataFrame:
-    """(a, b): links between texts of a key that ``links`` do not join yet, found among all pairs of different groups.
+def between_groups(members: DataFrame, facts: DataFrame, found: DataFrame, similarity: float, least: float, cell_weight: int) -> DataFrame:
+    """(a, b): links between texts of a key that ``found`` do not join yet, found among all pairs of different groups.
 
     The texts of a key outside its largest group are hosts; they are held against all texts of the key. Hosts and
     guests are dealt into blocks of bounded weight, and each block of hosts meets each block of guests.
     """
-    roots = contract(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).select(F.col("u").alias("id"), F.col("v").alias("root"))
-    labelled = checkpoint(members.join(roots, "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("label")))
+    labelled = checkpoint(members.drop("label").join(joined(found), "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("label")))
     parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
     keys = parts.groupBy("key").agg(F.max(F.struct("weight", "label", "n")).alias("most"), F.count("*").alias("groups"), F.sum("weight").alias("weight"), F.sum("n").alias("n"))
     keys = keys.where((F.col("groups") > 1) & (F.col("n") > LEADERS))
@@ -253,11 +295,11 @@ def known_texts(docs: DataFrame, id_col: str, text_col: str, shingle: int, simil
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), raw_hash(text).alias("raw"), text.alias("text"))
     sketched = checkpoint(sketches(rows, shingle, similarity, exact))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
-    nodes = checkpoint(sketched.groupBy("id").agg(F.min(first).alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")))
-    links = links_of(nodes, rows, shingle, similarity, exact, cell_weight)
+    nodes = checkpoint(sketched.groupBy("id").agg(F.min(first).alias("first"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")))
+    found = links_of(nodes, rows, shingle, similarity, exact, cell_weight)
     rank = F.struct("first", "id")
     ends = [nodes.select(F.col("id").alias(c), rank.alias(r)) for c, r in (("a", "u"), ("b", "v"))]
-    ranked = links.join(ends[0], "a").join(ends[1], "b").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    ranked = found.join(ends[0], "a").join(ends[1], "b").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     roots = contract(ranked).select(F.col("u.id").alias("linked"), F.col("v.first").alias("root"))
     known = nodes.join(roots, F.col("id") == F.col("linked"), "left").select("id", "first", F.coalesce("root", "first").alias("root"))
     return sketched.select("doc_id", "raw", "id"), checkpoint(known)
