@@ -102,3 +102,48 @@ def test_edges(spark):
     lone -= (1 << 64) * (lone >> 63)
     assert got == sorted(map(str, [(5, 0, 3), (3, 0, 3), (3, 0, 3), (None, 0, 3), (9, fp, 8), (8, fp, 8), (None, lone, None)]))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def roots_of(edges):
+    """Node -> smallest node of its component, for all but that one."""
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {n: root(n) for n in parent if root(n) != n}
+
+
+def test_contraction_in_parts_of_their_rows(spark, monkeypatch):
+    """A round of few rows runs few tasks and leaves one part, however many parts the session gives an exchange."""
+    rng = random.Random(21)
+    edges = [(c * 1000 + i, c * 1000 + i + 1) for c in range(4) for i in range(40)] + [(5000, 5001 + i) for i in range(200)]
+    edges += [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(150)]
+    rng.shuffle(edges)
+    want = roots_of([e for e in edges if e[0] != e[1]])
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker, rounds, cut = spark.sparkContext.statusTracker(), [], simhash.checkpoint
+    monkeypatch.setattr(simhash, "checkpoint", lambda df: rounds.append(cut(df)) or rounds[-1])
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("contraction", "contraction")
+        table = spark.createDataFrame(edges, "u long, v long").coalesce(2)
+        found = simhash.contract(table)
+        stages = {s for j in tracker.getJobIdsForGroup("contraction") for s in tracker.getJobInfo(j).stageIds}
+        done = [tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s)]
+        assert {r["u"]: r["v"] for r in found.collect()} == want
+        assert len(rounds) > 4 and [x.rdd.getNumPartitions() for x in rounds] == [64] + [1] * (len(rounds) - 1)
+        assert sum(done) < 64 * 2 * len(rounds)  # less than two exchanges a round
+        monkeypatch.setattr(simhash, "PART_ROWS", 50)
+        assert {r["u"]: r["v"] for r in simhash.contract(table).collect()} == want
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)

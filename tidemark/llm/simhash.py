@@ -28,6 +28,8 @@ BITS = 64
 PIVOTS = tuple(int(np.array([xxhash.xxh64_intdigest(f"pivot {i}", 0)], np.uint64).view(np.int64)[0]) for i in range(12))
 #: Pivots whose distances make up a cell, and the width of a cell in each.
 CELL_PIVOTS, CELL = 2, 10
+#: Rows (node, parent) of a part in the contraction.
+PART_ROWS = 100_000
 
 
 def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
@@ -132,24 +134,33 @@ def links(distinct: DataFrame, k: int, pivots: tuple[int, ...] = PIVOTS) -> Data
     return x.join(y.hint("merge"), condition).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
+def _state(rows: DataFrame) -> tuple:
+    """Number of rows, and a sum of hashes that tells one set of rows from another."""
+    return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(u, v): for each node of (u, v) edges, but the smallest of its component, that smallest node.
 
     Large-star and small-star steps on (node, parent) rows until nothing changes: O(log n) rounds, linear rows.
-    Every round is checkpointed, so a lost executor costs one round at most.
+    Every round is checkpointed, so a lost executor costs one round at most. Rows lie in as many parts as their number
+    asks for, not in one for each part of the exchange that made them: every round runs several exchanges, which write
+    files for each part. Rows that one part holds need hardly any exchange.
     """
     rows = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
+    before = _state(rows)
     while True:
-        both = rows.select("u", "v").union(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = max(1, -(-before[0] // PART_ROWS))
+        rows = rows.coalesce(parts)
+        both = rows.select("u", "v").union(rows.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v").coalesce(parts).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        rows = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        rows = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct())
+        state = _state(rows)
         if before == state:
             return rows
         before = state
